@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weft.llm import cooccur, distinctive
+from weft.llm import chunking, cooccur, distinctive, leakage, packing
 from weft.session import table
 
 
@@ -41,6 +41,28 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("z IS NOT NULL").select(F.col("id").alias("node_id"), "term")
 
 
+#: Tokens in a container (problem 8) and in a piece (problem 10).
+CONTAINER, PIECE, OVERLAP = 2048, 512, 64
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """A container of 2,048 tokens for each text, or for each part of a text that exceeds one."""
+    docs = table(spark, d, "documents")
+    sizes = packing.token_counts(docs, "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens", CONTAINER, docs.count())
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with 12 consecutive words of an evaluation item, or all the words of a shorter one."""
+    index = leakage.build_index(table(spark, d, "documents"), "doc_id", "text")
+    return leakage.search(index, table(spark, d, "eval_items"), "item_id", "text").select("item_id", "doc_id")
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each text above 512 tokens."""
+    return chunking.split_texts(table(spark, d, "documents"), "doc_id", "text", PIECE, OVERLAP)
+
+
 _P2_SQL = r"""
 WITH rows AS (SELECT DISTINCT sha, regexp_replace(regexp_replace(replace(new_path, '\', '/'), '/+', '/', 'g'), '^\./', '') AS path FROM commit_files WHERE sha IS NOT NULL AND new_path IS NOT NULL),
 kept AS (SELECT *, array_to_string(string_split(path, '/')[1:2], '/') AS pkg FROM rows WHERE sha IN (SELECT sha FROM rows GROUP BY sha HAVING count(*) <= 25)),
@@ -59,7 +81,7 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT id AS node_id, term FROM tf JOIN df USING (term) WHERE tf >= 2 AND df BETWEEN 2 AND 8
 """
 
-QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p4_found": p4_found}
+QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p4_found": p4_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_pieces": p10_pieces}
 
 ORACLE = {
     "p2_found": _P2_SQL + "SELECT path_a, path_b FROM pairs WHERE c * n >= 3 * na * nb",
