@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weft.llm import chunking, cooccur, distinctive, leakage, packing
+from weft.llm import chunking, cooccur, distinctive, leakage, neighbors, packing
 from weft.session import table
 
 
@@ -41,6 +41,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("z IS NOT NULL").select(F.col("id").alias("node_id"), "term")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of nodes with a cosine of at least 0.9 of which one is among the five most similar of the other."""
+    vectors = table(spark, d, "node_vectors").where("embedder = 'dense-64'")
+    return neighbors.similar_pairs(neighbors.nearest(vectors, "node_id", "vector", 64)).select("node_a", "node_b")
+
+
 #: Tokens in a container (problem 8) and in a piece (problem 10).
 CONTAINER, PIECE, OVERLAP = 2048, 512, 64
 
@@ -81,7 +87,14 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT id AS node_id, term FROM tf JOIN df USING (term) WHERE tf >= 2 AND df BETWEEN 2 AND 8
 """
 
-QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p4_found": p4_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_pieces": p10_pieces}
+_P6_SQL = """
+WITH v AS (SELECT node_id, min(vector::DOUBLE[]) AS v FROM node_vectors WHERE embedder = 'dense-64' AND len(vector) = 64 AND list_sum([abs(x) FOR x IN vector]) > 0 GROUP BY node_id),
+sims AS (SELECT a.node_id AS a, b.node_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM v a JOIN v b ON a.node_id <> b.node_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM sims)
+SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b FROM best WHERE n <= 5 AND s >= 0.9
+"""
+
+QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p4_found": p4_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_pieces": p10_pieces}
 
 ORACLE = {
     "p2_found": _P2_SQL + "SELECT path_a, path_b FROM pairs WHERE c * n >= 3 * na * nb",
@@ -90,4 +103,5 @@ churn AS (SELECT node_id, max(churn) AS churn FROM git_node GROUP BY node_id)
 SELECT path_a AS item_a, path_b AS item_b, c AS together, na AS n_a, nb AS n_b, n AS n_baskets, round(log2(c * n / (na * nb)), 6) AS pmi, edge_confidence, x.churn AS churn_a, y.churn AS churn_b
 FROM pairs LEFT JOIN conf ON source = path_a AND target = path_b LEFT JOIN churn x ON x.node_id = path_a LEFT JOIN churn y ON y.node_id = path_b""",
     "p4_found": _P4_SQL,
+    "p6_found": _P6_SQL,
 }
