@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 TABLES, PROBES, SEED = 10, 4, 20
@@ -71,7 +72,19 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _compare(dim: int, k: int, least: float):
-    """Rows come sorted by (bucket, salt, role): what is indexed (and asks as well), then what only asks."""
+    """Rows come sorted by (bucket, salt, role): what is indexed (and asks as well), then what only asks. Whatever
+    meets counts for both, so that a pair is missed only if neither asks in a bucket of the other."""
+
+    def top(ids: pa.Array, others: pa.Array, sims: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The k best of what was met here, for each row number ``of``."""
+        pairs = pa.table({"id": ids, "other": others, "sim": sims, "of": of})
+        pairs = pairs.filter(pa.compute.not_equal(pairs["id"], pairs["other"]))
+        if pairs.num_rows > k:
+            pairs = pairs.sort_by([("of", "ascending"), ("sim", "descending"), ("other", "ascending")])
+            row = pairs["of"].to_numpy()
+            first = np.searchsorted(row, row, "left")
+            pairs = pairs.filter(pa.array(np.arange(len(row)) - first < k))
+        yield from pairs.select(["id", "other", "sim"]).to_batches()
 
     def ask(index: tuple[np.ndarray, pa.Array], queries: tuple[np.ndarray, pa.Array]) -> Iterator[pa.RecordBatch]:
         have, names = index
@@ -83,20 +96,11 @@ def _compare(dim: int, k: int, least: float):
             if not len(q):
                 continue
             ids, others, s = who.take(pa.array(q + lo)), names.take(pa.array(c)), sims[q, c]
-            pairs = pa.table({"id": ids, "other": others, "sim": s, "q": q})
-            pairs = pairs.filter(pa.compute.not_equal(pairs["id"], pairs["other"]))
-            if not pairs.num_rows:
-                continue
-            if pairs.num_rows > k:
-                pairs = pairs.sort_by([("q", "ascending"), ("sim", "descending"), ("other", "ascending")])
-                row = pairs["q"].to_numpy()
-                first = np.searchsorted(row, row, "left")
-                pairs = pairs.filter(pa.array(np.arange(len(row)) - first < k))
-            yield from pairs.select(["id", "other", "sim"]).to_batches()
+            yield from top(ids, others, s, q)
+            if have is not asks:
+                yield from top(others, ids, s, c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         at, index, pending = None, None, []
 
         def settle() -> Iterator[pa.RecordBatch]:
