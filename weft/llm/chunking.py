@@ -20,14 +20,15 @@ _STOPS = np.array([ord(c) for c in ".!?…。"], np.uint32)
 _CLOSERS = np.array([ord(c) for c in "\"')]}»”’`*"], np.uint32)
 
 
-def boundaries(text: str, path: str) -> tuple[str, np.ndarray]:
-    """One letter a token, and the offset in characters behind each token.
+def boundaries(text: str, path: str, above: int = 0) -> tuple[str, np.ndarray]:
+    """One letter a token, and the offset in characters behind each token; nothing for a text of at most ``above``
+    tokens.
 
     A cut before white space, behind something else, leaves the tokens of both sides as they were, because the
     tokenizer's pattern looks ahead only from inside white space and never back."""
     _, lengths = tokens.encoding(path)
     ids = np.asarray(tokens.encode(text, path), np.int64)
-    if not len(ids):
+    if len(ids) <= above:
         return "", np.empty(0, np.int32)
     chars = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     width = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
@@ -82,8 +83,8 @@ def split_texts(docs: DataFrame, key: str, text: str, limit: int = 512, overlap:
             for lo in range(0, len(texts), 64):
                 rows, letters, ends = [], [], []
                 for i in range(lo, min(lo + 64, len(texts))):
-                    s, e = boundaries(texts[i], path)
-                    if len(s) > limit:
+                    s, e = boundaries(texts[i], path, limit)
+                    if s:
                         rows.append(i), letters.append(s), ends.append(e)
                 if rows:
                     flat = pa.array(np.concatenate(ends), pa.int32())
