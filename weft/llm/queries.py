@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weft.llm import chunking, cooccur, distinctive, leakage, neighbors, packing
+from weft.llm import chunking, cooccur, distinctive, handwritten, leakage, neighbors, packing
 from weft.session import table
 
 
@@ -33,6 +33,11 @@ def p2_against_graph(spark: SparkSession, d: str) -> DataFrame:
     return out.select("item_a", "item_b", "together", "n_a", "n_b", "n_baskets", F.round("pmi", 6).alias("pmi"), "edge_confidence", "churn_a", "churn_b")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of source files that are generated, minified, copies of third-party code or data."""
+    return handwritten.not_handwritten(table(spark, d, "sources")).where("generated OR minified OR vendored OR data").select("path")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms that a node repeats and that two to eight nodes of the graph use."""
     fields = ["name", "summary", "signature"]
@@ -94,7 +99,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FR
 SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b FROM best WHERE n <= 5 AND s >= 0.9
 """
 
-QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p4_found": p4_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_pieces": p10_pieces}
 
 ORACLE = {
     "p2_found": _P2_SQL + "SELECT path_a, path_b FROM pairs WHERE c * n >= 3 * na * nb",
