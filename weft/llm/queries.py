@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weft.llm import chunking, cooccur, distinctive, handwritten, leakage, neighbors, packing
+from weft.llm import chunking, cooccur, distinctive, docpairs, handwritten, leakage, neighbors, packing
 from weft.session import table
 
 
@@ -52,6 +52,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.similar_pairs(neighbors.nearest(vectors, "node_id", "vector", 64)).select("node_a", "node_b")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and methods with documentation that says something."""
+    return docpairs.function_docs(table(spark, d, "sources")).select("id")
+
+
 #: Tokens in a container (problem 8) and in a piece (problem 10).
 CONTAINER, PIECE, OVERLAP = 2048, 512, 64
 
@@ -99,7 +104,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FR
 SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b FROM best WHERE n <= 5 AND s >= 0.9
 """
 
-QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_pieces": p10_pieces}
 
 ORACLE = {
     "p2_found": _P2_SQL + "SELECT path_a, path_b FROM pairs WHERE c * n >= 3 * na * nb",
