@@ -1,4 +1,7 @@
 """The queries of the graph operators, bound to the test tables."""
 
-QUERIES = {}
-ORACLE = {}
+from weft.plans import q_graph
+
+_PARTS = (q_graph,)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
