@@ -51,7 +51,7 @@ def god_nodes(nodes: DataFrame, edges: DataFrame, limit: int | None = 10) -> Dat
     limits = both.agg(*(F.greatest(F.lit(HUB_FLOOR), F.avg(c) + HUB_SIGMAS * F.stddev_pop(c)).alias(f"least_{c}") for c in ("fan_in", "fan_out")))
     both = both.withColumn("least_in", limits.select("least_fan_in").scalar()).withColumn("least_out", limits.select("least_fan_out").scalar())
     by_in, by_out = F.col("fan_in") >= F.col("least_in"), F.col("fan_out") >= F.col("least_out")
-    out = both.where(by_in | by_out).select("id", "fan_in", "fan_out", F.greatest("fan_in", "fan_out").alias("score"), F.when(by_in, "fan_in").otherwise("fan_out").alias("reason"))
+    out = both.where(by_in | by_out).select("id", "fan_in", "fan_out", (F.col("fan_in") + F.col("fan_out")).alias("score"), F.when(by_in, "fan_in").otherwise("fan_out").alias("reason"))
     return out if limit is None else out.orderBy(F.desc("score"), F.desc("id")).limit(limit)
 
 

@@ -1,7 +1,7 @@
 """The queries of the graph operators, bound to the test tables."""
 
-from weft.plans import q_graph
+from weft.plans import q_graph, q_history, q_text
 
-_PARTS = (q_graph,)
+_PARTS = (q_graph, q_history, q_text)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

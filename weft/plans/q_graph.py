@@ -93,7 +93,7 @@ UNION ALL SELECT 'edges_by_type', type, count(*) FROM e GROUP BY type UNION ALL
     "fan_in_out": NOW + _FAN + "SELECT id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM i FULL JOIN o USING (id)",
     "god_nodes": NOW + _FAN + """, b AS (SELECT n.id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM n LEFT JOIN i USING (id) LEFT JOIN o USING (id) WHERE type NOT IN ('external', 'decision', 'convention', 'entity', 'doc')),
 l AS (SELECT greatest(3.0, avg(fan_in) + 2 * stddev_pop(fan_in)) AS li, greatest(3.0, avg(fan_out) + 2 * stddev_pop(fan_out)) AS lo FROM b)
-SELECT id, fan_in, fan_out, greatest(fan_in, fan_out) AS score, CASE WHEN fan_in >= li THEN 'fan_in' ELSE 'fan_out' END AS reason FROM b, l WHERE fan_in >= li OR fan_out >= lo""",
+SELECT id, fan_in, fan_out, fan_in + fan_out AS score, CASE WHEN fan_in >= li THEN 'fan_in' ELSE 'fan_out' END AS reason FROM b, l WHERE fan_in >= li OR fan_out >= lo""",
     "neighbors_out_in": NOW + _SEED + f""", x AS (SELECT 'out' AS direction, type, target AS other, {LABEL} AS label FROM e WHERE source = (SELECT id FROM seed) UNION ALL SELECT 'in', type, source, {LABEL} FROM e WHERE target = (SELECT id FROM seed)),
 r AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY type, other) AS k FROM x)
 SELECT direction, r.type, other, coalesce(name, other) AS name, label FROM r LEFT JOIN n ON n.id = other WHERE k <= 40""",
