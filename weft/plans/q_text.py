@@ -10,7 +10,7 @@ from weft.plans.q_graph import NOW, edges, nodes
 from weft.session import table
 
 #: What the search queries look for.
-QUERY, X token for the order queue", "pars qu"
+QUERY, LEXICAL = "parse registry token for the order queue", "pars qu"
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
