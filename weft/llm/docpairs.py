@@ -7,6 +7,7 @@ declarations are parsed by a generalised LL grammar of the language; whatever do
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -88,6 +89,9 @@ def lex(text: str, lang: str) -> Tokens:
         elif kind != "ws":
             if lang == "js" and s == "/" and (kinds[-1] if kinds else "") in _BEFORE_REGEX and (r := _REGEX.match(text, at)):
                 kind, s, end = "str", r.group(), r.end()
+            if lang == "py" and opened and clean and (s in ("def", "class", "async") or (s == "@" and text[at + 1:at + 2].isidentifier())):
+                opened.clear()
+                kinds.append("nl"), texts.append("\n"), lines.append(line - 1), columns.append(0), match.append(-1)
             i = len(kinds)
             kinds.append(s if kind == "op" or (kind == "id" and s in words) else kind)
             texts.append(s), lines.append(line), columns.append(at - start), match.append(-1)
@@ -133,25 +137,26 @@ def _comment_runs(found: list[tuple[int, int, str, bool]], code: set[int]) -> di
 _JS: Grammar = {
     "Item": [("Class",), ("Fn",), ("Arrow",)],
     "Member": [("Method",), ("Arrow",), ("Field",)],
-    "Mods": [(), ("Mod", "Mods")],
-    "Mod": [(k,) for k in ("export", "default", "async", "static", "public", "private", "protected", "readonly", "abstract", "override", "declare", "get", "set", "*")] + [("Note",)],
+    "Mods": [(), ("Mods", "Mod")],
+    "Mod": [(k,) for k in ("export", "default", "async", "static", "public", "private", "protected", "readonly", "abstract", "override", "declare", "get", "set")] + [("Note",)],
     "Note": [("@", "Dotted"), ("@", "Dotted", "()")],
     "Dotted": [("name",), ("name", ".", "Dotted")],
     "Class": [("Mods", "class", "Name", "Heritage", "Body")],
-    "Heritage": [(), ("any", "Heritage")],
+    "Heritage": [(), ("Heritage", "any"), ("Heritage", "<", "Inside", ">"), ("Heritage", "()")],
     "Fn": [("Mods", "function", "Sig", "Returns", "Body"), ("Mods", "function", "*", "Sig", "Returns", "Body")],
     "Sig": [("Name", "Generics", "()")],
     "Generics": [(), ("<", "Inside", ">")],
-    "Inside": [(), ("any", "Inside"), ("<", "Inside", ">", "Inside"), ("{}", "Inside"), ("()", "Inside"), ("=", "Inside")],
+    "Inside": [(), ("Inside", "any"), ("Inside", "<", "Inside", ">"), ("Inside", "{}"), ("Inside", "()"), ("Inside", "=")],
     "Returns": [(), (":", "Type")],
-    "Type": [("any",), ("any", "Type"), ("{}", "Type"), ("()", "Type"), ("()",), ("<", "Inside", ">"), ("<", "Inside", ">", "Type"), ("=>", "Type")],
+    "Type": [("Piece",), ("Type", "Piece")],
+    "Piece": [("any",), ("{}",), ("()",), ("<", "Inside", ">"), ("=>",)],
     "Arrow": [("Mods", "Var", "Name", "Returns", "=", "Async", "Params", "Returns", "=>", "Rest"), ("Mods", "Var", "Name", "Returns", "=", "Async", "function", "MaybeName", "()", "Returns", "Body")],
     "Var": [(), ("const",), ("let",), ("var",)],
     "Async": [(), ("async",)],
     "MaybeName": [(), ("name",), ("*",)],
     "Params": [("name",), ("Generics", "()")],
     "Rest": [("Body",), ("rest",)],
-    "Method": [("Mods", "Sig", "Returns", "Body")],
+    "Method": [("Mods", "Sig", "Returns", "Body"), ("Mods", "*", "Sig", "Returns", "Body")],
     "Field": [("Mods", "name", "rest")],
     "Name": [("name",)],
     "Body": [("{}",)],
@@ -163,25 +168,25 @@ _GO: Grammar = {
     "Receiver": [("()",)],
     "Sig": [("Name", "Generics", "()")],
     "Generics": [(), ("[]",)],
-    "Returns": [(), ("any", "Returns"), ("()", "Returns"), ("interface", "{}", "Returns"), ("struct", "{}", "Returns")],
+    "Returns": [(), ("Returns", "any"), ("Returns", "()"), ("Returns", "interface", "{}"), ("Returns", "struct", "{}")],
     "Name": [("name",)],
     "Body": [("{}",)],
 }
 _JAVA: Grammar = {
     "Item": [("Class",), ("Method",)],
     "Member": [("Class",), ("Method",)],
-    "Mods": [(), ("Mod", "Mods")],
+    "Mods": [(), ("Mods", "Mod")],
     "Mod": [(k,) for k in ("public", "private", "protected", "static", "final", "abstract", "synchronized", "native", "default", "strictfp", "sealed")] + [("Note",)],
     "Note": [("@", "Dotted"), ("@", "Dotted", "()")],
     "Dotted": [("name",), ("name", ".", "Dotted")],
     "Class": [("Mods", "ClassWord", "Name", "Heritage", "Body"), ("Mods", "record", "Name", "Generics", "()", "Heritage", "Body")],
     "ClassWord": [("class",), ("interface",), ("enum",), ("@", "interface")],
-    "Heritage": [(), ("any", "Heritage"), ("()", "Heritage")],
+    "Heritage": [(), ("Heritage", "any"), ("Heritage", "<", "Inside", ">"), ("Heritage", "()")],
     "Method": [("Mods", "Generics", "Type", "Sig", "Dims", "Throws", "End"), ("Mods", "Generics", "Sig", "Throws", "Body")],
     "Generics": [(), ("<", "Inside", ">")],
-    "Inside": [(), ("any", "Inside"), ("<", "Inside", ">", "Inside")],
+    "Inside": [(), ("Inside", "any"), ("Inside", "<", "Inside", ">")],
     "Type": [("Dotted", "Generics", "Dims")],
-    "Dims": [(), ("[]", "Dims")],
+    "Dims": [(), ("Dims", "[]")],
     "Throws": [(), ("throws", "Heritage")],
     "Sig": [("Name", "()")],
     "Name": [("name",)],
@@ -191,36 +196,36 @@ _JAVA: Grammar = {
 _RS: Grammar = {
     "Item": [("Impl",), ("Trait",), ("Module",), ("Fn",)],
     "Member": [("Fn",)],
-    "Mods": [(), ("Mod", "Mods")],
+    "Mods": [(), ("Mods", "Mod")],
     "Mod": [("pub",), ("pub", "()"), ("const",), ("async",), ("unsafe",), ("default",), ("extern",), ("extern", "str"), ("Note",)],
     "Note": [("#", "[]")],
     "Fn": [("Mods", "fn", "Sig", "Returns", "Where", "End")],
     "Sig": [("Name", "Generics", "()")],
     "Generics": [(), ("<", "Inside", ">")],
-    "Inside": [(), ("any", "Inside"), ("<", "Inside", ">", "Inside"), ("()", "Inside"), ("->", "Inside"), ("=", "Inside")],
+    "Inside": [(), ("Inside", "any"), ("Inside", "<", "Inside", ">"), ("Inside", "()"), ("Inside", "[]"), ("Inside", "->"), ("Inside", "="), ("Inside", "fn", "()")],
     "Returns": [(), ("->", "Type")],
-    "Type": [("Piece",), ("Piece", "Type")],
-    "Piece": [("any",), ("()",), ("[]",), ("<", "Inside", ">"), ("->",)],
+    "Type": [("Piece",), ("Type", "Piece")],
+    "Piece": [("any",), ("()",), ("[]",), ("<", "Inside", ">"), ("->",), ("fn", "()"), ("impl",)],
     "Where": [(), ("where", "Type")],
     "End": [("Body",), (";",)],
     "Impl": [("Mods", "impl", "Generics", "Owner", "Where", "Body"), ("Mods", "impl", "Generics", "Type", "for", "Owner", "Where", "Body")],
     "Owner": [("Type",)],
     "Trait": [("Mods", "trait", "Name", "Heritage", "Body")],
-    "Heritage": [(), ("Piece", "Heritage"), ("where", "Heritage")],
+    "Heritage": [(), ("Heritage", "Piece"), ("Heritage", "where")],
     "Module": [("Mods", "mod", "Name", "Body")],
     "Name": [("name",)],
     "Body": [("{}",)],
 }
 _PY: Grammar = {
     "Item": [("Notes", "Def"), ("Notes", "Class")],
-    "Notes": [(), ("Note", "Notes")],
+    "Notes": [(), ("Notes", "Note")],
     "Note": [("@", "line")],
     "Def": [("Async", "def", "Sig", "Returns", ":")],
     "Async": [(), ("async",)],
     "Sig": [("Name", "Generics", "()")],
     "Generics": [(), ("[]",)],
     "Returns": [(), ("->", "Type")],
-    "Type": [("Piece",), ("Piece", "Type")],
+    "Type": [("Piece",), ("Type", "Piece")],
     "Piece": [("any",), ("[]",), ("()",), ("str",)],
     "Class": [("class", "Name", "Generics", ":"), ("class", "Name", "Generics", "()", ":")],
     "Name": [("name",)],
@@ -228,7 +233,14 @@ _PY: Grammar = {
 _GRAMMARS = {"js": _JS, "go": _GO, "java": _JAVA, "rs": _RS, "py": _PY}
 #: Words that are names as well, where a name is due.
 _SOFT = {"js": {"get", "set", "of", "from", "async", "static", "default", "delete", "declare", "with", "in", "import", "return", "catch", "override", "readonly", "abstract"}, "java": {"record", "sealed", "permits"}, "rs": {"default", "union"}, "go": set(), "py": set()}
-_NOT_ANY = {"js": {"{", "}", "(", ")", ";", "=", "=>", "<", ">", "nl"}, "go": {"{", "}", "(", ")", ";", "=", ":=", "interface", "struct", "func"}, "java": {"{", "}", "(", ")", ";", "=", "<", ">"}, "rs": {"{", "}", "(", ")", "[", "]", ";", "=", "<", ">", "->", "where", "for"}, "py": {":", "nl", "(", ")", "[", "]", "str"}}
+_NOT_ANY = {
+    "js": {"{", "}", "(", ")", ";", "=", "=>", "<", ">", "class", "function", "const", "let", "var", "export", "return"}, "go": {"{", "}", "(", ")", ";", "=", ":=", "interface", "struct", "func", "return"},
+    "java": {"{", "}", "(", ")", ";", "=", "<", ">", "class", "interface", "enum", "return", "new"}, "rs": {"{", "}", "(", ")", "[", "]", ";", "=", "<", ">", "->", "where", "for", "fn", "impl", "trait", "mod", "pub", "let", "return"}, "py": {":", "nl", "(", ")", "[", "]", "str", "def", "class"},
+}
+#: Steps that the parse of one declaration may take; a line that needs more is stepped over like one that is broken.
+STEPS = 20_000
+#: Classes inside classes that are followed; what stands deeper is read as if it stood there.
+DEEPEST = 30
 
 
 @lru_cache(maxsize=None)
@@ -243,6 +255,8 @@ class Source:
         self.lang, self.parser = lang, _parser(lang)
         self.t = lex(text, lang)
         self.soft, self.not_any = _SOFT[lang], _NOT_ANY[lang]
+        self.starts = [j for j in range(len(self.t.kinds)) if not j or self.t.lines[j] != self.t.lines[j - 1]]
+        self.mended: dict[int, int] = {}
         self.begin = {w: self.parser.starts((w,)) for w in ("Item", "Member") if w in self.parser.grammar}
 
     def step(self, symbol: str, i: int) -> int:
@@ -257,7 +271,7 @@ class Source:
         if len(symbol) == 2 and symbol in ("()", "{}", "[]"):
             if kind != symbol[0]:
                 return -1
-            end = t.match[i] if t.match[i] > i else self._mend(i)
+            end = t.match[i] if t.match[i] > i else self.mended.get(i) or self.mended.setdefault(i, self._mend(i))
             return end + 1 if end > i else -1
         if symbol == "rest":
             return self._rest(i)
@@ -272,11 +286,10 @@ class Source:
         t = self.t
         if t.texts[i] != "{":
             return -1
-        first = i
-        while first and t.lines[first - 1] == t.lines[i]:
-            first -= 1
-        for j in range(i + 1, len(t.kinds)):
-            if t.lines[j] != t.lines[j - 1] and t.columns[j] <= t.columns[first] and t.lines[j] > t.lines[i]:
+        k = bisect_right(self.starts, i) - 1
+        own = t.columns[self.starts[k]]
+        for j in self.starts[k + 1:]:
+            if t.columns[j] <= own:
                 return j - 1 if t.kinds[j] != "}" else j
         return len(t.kinds) - 1
 
@@ -327,7 +340,7 @@ class Source:
             line -= 1
         return ""
 
-    def _walk(self, lo: int, hi: int, what: str, owner: str) -> Iterator[Function]:
+    def _walk(self, lo: int, hi: int, what: str, owner: str, depth: int = 0) -> Iterator[Function]:
         t, begin, i = self.t, self.begin.get(what, set()), lo
         names = "name" in begin
         while i < hi:
@@ -335,7 +348,12 @@ class Source:
             if not (kind in begin or names and (kind == "id" or kind in self.soft)) or (i > lo and t.kinds[i - 1] in (".", "new", "return")):
                 i += 1
                 continue
-            done = self.parser.parse(what, i, self.step)
+            done = self.parser.parse(what, i, self.step, STEPS)
+            if done is None:
+                line = t.lines[i]
+                while i < hi and t.lines[i] == line:
+                    i += 1
+                continue
             ends = [e for e in done.get((what, i), ()) if e <= hi]
             if not ends:
                 i = self._skip(i, hi, what)
@@ -349,10 +367,13 @@ class Source:
             if any(is_(done, c) for c in ("Class", "Impl", "Trait", "Module")):
                 inner = self._owner(done, i, body)
                 name = inner if not owner else f"{owner}.{inner}"
+                if depth >= DEEPEST:
+                    i = body + 1
+                    continue
                 if is_(done, "Module"):
-                    yield from self._walk(body + 1, end - 1, "Item", owner)
+                    yield from self._walk(body + 1, end - 1, "Item", owner, depth + 1)
                 else:
-                    yield from self._walk(body + 1, end - 1, "Member", name)
+                    yield from self._walk(body + 1, end - 1, "Member", name, depth + 1)
             elif is_(done, "Field") and not is_(done, "Method") and not is_(done, "Arrow"):
                 pass
             else:
@@ -367,17 +388,21 @@ class Source:
             i = max(end, i + 1)
 
     def _skip(self, i: int, hi: int, what: str) -> int:
-        """Inside a class, what does not parse is skipped with its brackets; elsewhere one token at a time."""
+        """Inside a class, what does not parse is skipped with its brackets; elsewhere up to where a statement or a
+        declaration may begin."""
         t = self.t
+        line = t.lines[i]
         if what == "Member":
-            line = t.lines[i]
             while i < hi and t.lines[i] == line and t.kinds[i] != ";":
                 if t.match[i] > i:
                     i = t.match[i]
                     line = t.lines[i]
                 i += 1
             return i + (i < hi and t.kinds[i] == ";")
-        return i + 1
+        begin, i = self.begin[what], i + 1
+        while i < hi and t.lines[i] == line and t.kinds[i - 1] not in (";", "{", "}") and t.kinds[i] not in begin:
+            i += 1
+        return i
 
     def _owner(self, done: dict, i: int, body: int) -> str:
         t = self.t
@@ -416,7 +441,7 @@ class Source:
                 while scopes and t.columns[i] <= scopes[-1][0]:
                     scopes.pop()
             if fresh and kind in begin:
-                done = self.parser.parse("Item", i, self.step)
+                done = self.parser.parse("Item", i, self.step, STEPS) or {}
                 end = max(done.get(("Item", i), ()), default=-1)
                 if end > 0:
                     names = [k for (nt, k) in done if nt == "Name" and k >= i]
@@ -448,7 +473,9 @@ _INLINE_TAG = re.compile(r"\s(?:@(?:param|return|returns|throws|raises)\b|:(?:pa
 _TODO = re.compile(r"^\W*(?:to-?do|fixme|xxx|hack|tbd|wip)\b", re.I)
 _TOOL = re.compile(r"^\W*(?:eslint|tslint|jshint|jslint|prettier|biome|deno-lint|istanbul|c8 ignore|v8 ignore|noqa|nolint|nosec|nosonar|sonar|golangci|revive|lint[:-]|go:|\+build|checkstyle|pmd|spotbugs|findbugs|noinspection|suppress|clippy|rustfmt|cbindgen|pylint|flake8|mypy|pyright|type:\s*ignore|pragma|fmt:|yapf|isort|ruff|black:|coverage|ts-(?:ignore|expect|nocheck|check)|@ts-|@flow|jscpd|cspell|spell-?checker|webpack|region\b|endregion\b|sourcemappingurl|vim:|-\*-|editorconfig)", re.I)
 _LICENCE = re.compile(r"\(c\)\s|©|\bcopyright\b|\blicen[cs]ed? (?:under|by|to)\b|\b(?:MIT|BSD|Apache|GPL|MPL|ISC)\b.*\blicen[cs]e|\blicensed (?:MIT|BSD|Apache|GPL)|\ball rights reserved\b|\bas is, without warranty\b|\bspdx-", re.I)
-_CODE = re.compile(r"[;{}]\s*$|^\s*[}{)\]]|^\s*(?:if|elif|for|while|switch|match|with)\b[^.]*[:{)]\s*\S*.*[)\w\]]\s*$(?<![a-z]\.)|^\s*(?:return|import|from|const|let|var|def|func|fn|class|else|raise|throw|await|use|package|public|private)\b[^.]*[=(){}:;]|^\s*[\w.$\[\]]+\s*(?:[-+*/|&]?=|:=)\s*\S|^\s*[\w.$]+\([^()]*\)\s*;?\s*$|=>|&&|\|\|")
+_CODE = re.compile(
+    r"[;{}]\s*$|^\s*[}{)\]]|^\s*(?:if|elif|for|while|switch|match|with)\b.*[:{]\s*$|^\s*(?:return|const|let|var|func|fn|class|raise|throw|await|package|public|private)\b[^.]*[;={]"
+    r"|^\s*(?:from\s+\S+\s+)?import\s+[\w.{}*, ]+;?\s*$|^\s*(?:async\s+)?def\s+\w+\s*\(|^\s*[\w.$\[\]]+\s*(?:[-+*/|&]?=|:=)\s*\S|^\s*[\w.$]+\([^()]*\)\s*;?\s*$|=>|&&|\|\|")
 _RULER = re.compile(r"^[\W_]*$")
 
 

@@ -51,14 +51,19 @@ class Parser:
                 break
         return out
 
-    def parse(self, start: str, at: int, step: Callable[[str, int], int]) -> Ends:
-        """All completed nonterminals: (nonterminal, where it begins) to where it can end."""
+    def parse(self, start: str, at: int, step: Callable[[str, int], int], steps: int | None = None) -> Ends | None:
+        """All completed nonterminals: (nonterminal, where it begins) to where it can end; None if that takes more than
+        ``steps`` steps."""
         grammar, done = self.grammar, {}
         edges: dict[tuple[str, int], set[tuple[tuple[str, ...], int, tuple[str, int] | None]]] = {}
         todo: list[tuple[tuple[str, ...], int, tuple[str, int], int]] = []
         seen: set[tuple[tuple[str, ...], int, tuple[str, int], int]] = set()
 
+        work = 0
+
         def add(alt: tuple[str, ...], dot: int, node: tuple[str, int], i: int) -> None:
+            nonlocal work
+            work += 1
             d = (alt, dot, node, i)
             if d not in seen:
                 seen.add(d)
@@ -79,6 +84,8 @@ class Parser:
 
         call(start, at, ((), 0, None))
         while todo:
+            if steps is not None and work > steps:
+                return None
             alt, dot, node, i = todo.pop()
             while dot < len(alt):
                 symbol = alt[dot]
