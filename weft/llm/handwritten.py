@@ -43,6 +43,10 @@ def project_of(path: Column) -> Column:
     return F.substring_index(path, "/", 1)
 
 
+def _stripped(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\f\v\r"))
+
+
 def _any(lines: Column, test) -> Column:
     return F.coalesce(F.exists(lines, test), F.lit(False))
 
@@ -51,7 +55,7 @@ def _marked(sources: DataFrame, path: str, text: str) -> DataFrame:
     """(path, project, generated, minified, data, notice, vendor_dir, blocks) of each row."""
     body = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^﻿", ""), "\r\n?", "\n")
     df = sources.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), project_of(F.col(path)).alias("project"), body.alias("body"))
-    df = df.withColumn("lines", F.filter(F.transform(F.split("body", "\n"), F.trim), lambda x: x != ""))
+    df = df.withColumn("lines", F.filter(F.transform(F.split("body", "\n"), _stripped), lambda x: x != ""))
     top = F.slice("lines", 1, HEADER_LINES)
     first_code = F.array_position(F.transform(top, lambda x: x.rlike(_COMMENT)), False)
     df = df.withColumn("header", F.when(first_code == 0, top).otherwise(F.slice(top, F.lit(1), F.greatest(first_code - 1, F.lit(0)).cast("int"))))
@@ -66,7 +70,7 @@ def _marked(sources: DataFrame, path: str, text: str) -> DataFrame:
     notice = ~own & _any(F.col("header"), lambda x: x.rlike(NOTICE)) & _any(F.col("header"), lambda x: x.rlike(LICENCE))
     said = _any(F.col("header"), lambda x: x.rlike(GENERATED_MARK) & ~x.rlike(NOT_GENERATED_MARK)) & ~_any(F.col("header"), lambda x: x.rlike(NOT_GENERATED_MARK))
     ended = _any(F.slice("lines", F.greatest(F.size("lines") - 2, F.lit(1)), F.lit(3)), lambda x: x.rlike(_COMMENT) & x.rlike(TRAILER_MARK))
-    parts = F.transform(F.split("body", "\n[ \t]*\n"), lambda b: F.filter(F.transform(F.split(b, "\n"), F.trim), lambda x: x != ""))
+    parts = F.transform(F.split("body", "\n[ \t]*\n"), lambda b: F.filter(F.transform(F.split(b, "\n"), _stripped), lambda x: x != ""))
     parts = F.filter(parts, lambda b: F.exists(b, lambda x: ~x.rlike(_COMMENT)))
     blocks = F.filter(F.transform(parts, lambda b: F.array_join(b, "\n")), lambda b: F.length(b) >= LEAF)
     leaves = F.transform(blocks, lambda b: F.struct(F.xxhash64(b).alias("h"), F.length(b).alias("n")))

@@ -84,7 +84,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int, n_rows: int) -> D
     caller and counts as 0. Ties are broken by key, so the result is the same on every run. Repeated rows are
     packed as often as they occur. Extra columns are ignored. No rows give no rows."""
     groups = max(1, -(-n_rows // GROUP_ITEMS))
-    need = F.greatest(F.col(size).cast("bigint"), F.lit(0))
+    need = F.when(F.col(size).isNotNull(), F.greatest(F.col(size).cast("bigint"), F.lit(0)))
     items = sizes.select(F.col(key).alias("key"), need.alias("n"))
     starts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest(F.col("n"), F.lit(1)) - 1) / capacity).cast("bigint"))
     cutup = items.where("n IS NOT NULL").select("key", F.posexplode(starts).alias("piece", "k"), "n")
