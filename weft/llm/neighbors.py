@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-TABLES, PROBES, SEED = 10, 4, 20
+TABLES, PROBES, SEED = 10, 3, 20
 #: Vectors of one bucket that are compared as one block; fuller buckets are dealt out over several tasks.
 BLOCK_ROWS = 20_000
 
@@ -140,6 +140,8 @@ def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 5, least:
     once: a class of equal vectors is one row of the index, stands for its k + 1 smallest ids, and gives its result
     to all its members, so that a third of all rows with one vector costs no more than one. Buckets above
     ``BLOCK_ROWS`` are dealt out: each task has one block of the index and all that ask, so no bucket is capped.
+    Which buckets these are goes by way of the driver: at most ``tables`` * vectors / ``BLOCK_ROWS`` pairs of numbers.
+    The vectors are shuffled once, ``tables`` * ``probes`` times each.
     What the tables miss is missing; the rest is exact. See :func:`usable_vectors` for what takes part."""
     given = usable_vectors(rows, key, vector, dim)
     rep = given.groupBy("vector").agg(F.min("id").alias("rep"))
@@ -154,23 +156,28 @@ def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 5, least:
                 for codes in buckets(_unit(_matrix(b.column(0), dim)), tables, 1):
                     yield pa.RecordBatch.from_arrays([pa.array(codes[:, 0], pa.int64())], ["bucket"])
 
+    crowded = reps.select("vector").mapInArrow(count, "bucket bigint").groupBy("bucket").count().where(F.col("count") > BLOCK_ROWS)
+    blocks = {r["bucket"]: -(-r["count"] // BLOCK_ROWS) for r in crowded.collect()}
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
+                mine = part.column("h").to_numpy()
                 for codes in buckets(_unit(_matrix(part.column("vector"), dim)), tables, probes):
                     n, p = codes.shape
-                    take = pa.array(np.tile(np.arange(n), p))
-                    yield pa.RecordBatch.from_arrays([pa.array(codes.T.ravel(), pa.int64()), pa.array(np.repeat(np.minimum(np.arange(p), 1), n), pa.int32()), part.column("id").take(take), part.column("vector").take(take)], ["bucket", "role", "id", "vector"])
+                    row, bucket, role = np.tile(np.arange(n), p), codes.T.ravel(), np.repeat(np.minimum(np.arange(p), 1), n)
+                    salt = np.zeros(len(row), np.int64)
+                    if blocks:
+                        many = np.array([blocks.get(x, 1) for x in bucket.tolist()])
+                        row, bucket, role = (np.repeat(x, many) for x in (row, bucket, role))
+                        salt = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                        role = np.where((role == 0) & (salt == mine[row] % np.repeat(many, many)), 0, 1)
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(salt, pa.int32()), pa.array(role, pa.int32()), part.column("id").take(take), part.column("vector").take(take)], ["bucket", "salt", "role", "id", "vector"])
 
-    full = reps.select("vector").mapInArrow(count, "bucket bigint").groupBy("bucket").count().where(F.col("count") > BLOCK_ROWS)
-    full = full.select("bucket", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
     kind = reps.schema["vector"].dataType.simpleString()
-    placed = reps.mapInArrow(place, f"bucket bigint, role int, id string, vector {kind}").join(full, "bucket", "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    placed = placed.select("bucket", "id", "vector", "role", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"))
-    placed = placed.select("bucket", "salt", F.when((F.col("role") == 0) & (F.col("salt") == F.col("mine")), 0).otherwise(1).alias("role"), "id", "vector")
+    placed = reps.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).mapInArrow(place, f"bucket bigint, salt int, role int, id string, vector {kind}")
     laid = placed.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "role")
     met = laid.mapInArrow(_compare(dim, k, least), "id string, other string, sim double").groupBy("id", "other").agg(F.max("sim").alias("sim"))
     best = W.partitionBy("id").orderBy(F.desc("sim"), "other")
