@@ -28,21 +28,38 @@ def spans(nodes: DataFrame) -> DataFrame:
     return s.select(F.col("id").alias("symbol"), "path", F.col("span_start").alias("a"), F.coalesce("span_end", "span_start").alias("b"))
 
 
+#: Lines in one bin of the range joins.
+BIN = 128
+
+
+def within(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """``points`` (path, line, ...) joined with the spans (symbol, path, a, b) around each line.
+
+    Spans are listed under the bins of lines they touch, so that the join is on (path, bin) and a file with a third
+    of all lines is spread over its bins."""
+    p = points.withColumn("__bin", F.floor(F.col("line") / BIN))
+    s = spans.where("a <= b").withColumn("__bin", F.explode(F.sequence(F.floor(F.col("a") / BIN), F.floor(F.col("b") / BIN))))
+    return p.join(s, ["path", "__bin"]).where("line BETWEEN a AND b").drop("__bin")
+
+
 def enclosing(points: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
     """``points`` (path, line and ``key``, which is unique) with the smallest span around the line; ties by symbol."""
-    j = points.join(spans, "path").where("line BETWEEN a AND b")
+    j = within(points, spans)
     best = j.groupBy(*key).agg(F.min(F.struct((F.col("b") - F.col("a")).alias("size"), "symbol")).alias("m"))
     return best.select(*key, F.col("m.symbol").alias("symbol"))
 
 
 def all_enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Every span around each line."""
-    return points.join(spans, "path").where("line BETWEEN a AND b").drop("a", "b")
+    return within(points, spans).drop("a", "b")
 
 
 def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of two interval tables (path, a, b; right's named path, c, d) of one path that overlap."""
-    return left.join(right, "path").where("a <= d AND b >= c")
+    bins = lambda x, y: F.explode(F.sequence(F.floor(F.col(x) / BIN), F.floor(F.col(y) / BIN)))
+    both = left.where("a <= b").withColumn("__bin", bins("a", "b")).join(right.where("c <= d").withColumn("__bin", bins("c", "d")), ["path", "__bin"])
+    # Each pair is kept in the first bin that both touch.
+    return both.where("a <= d AND b >= c").where(F.col("__bin") == F.floor(F.greatest("a", "c") / BIN)).drop("__bin")
 
 
 def coverage(lines: DataFrame, spans: DataFrame) -> DataFrame:
@@ -50,7 +67,7 @@ def coverage(lines: DataFrame, spans: DataFrame) -> DataFrame:
     no measured line has no row: it is unknown, not uncovered. Several hits of a line count as the greatest."""
     one = lines.where("path IS NOT NULL AND line IS NOT NULL").groupBy("path", "line").agg(F.max("hits").alias("hits"))
     measure = lambda rows, by: rows.groupBy(F.col(by).alias("id")).agg(F.max((F.col("hits") > 0).cast("int")).alias("covered"), (F.sum((F.col("hits") > 0).cast("int")) / F.count("*")).alias("ratio"))
-    return measure(one, "path").unionByName(measure(one.join(spans, "path").where("line BETWEEN a AND b"), "symbol"))
+    return measure(one, "path").unionByName(measure(within(one, spans), "symbol"))
 
 
 def resolve_paths(paths: DataFrame, files: DataFrame) -> DataFrame:

@@ -67,11 +67,48 @@ def rank_by_query(tf: DataFrame, n_docs: Column, key: str, query: DataFrame, lim
     return hits if limit is None else hits.orderBy(F.desc(F.round("score", 9)), key).limit(limit)
 
 
-def rank_dense(rows: DataFrame, key: str, vector: str, query: list[float], limit: int) -> DataFrame:
-    """(key, score): the dot product of each vector with one query vector, best first; nulls are left out."""
-    q = F.array(*map(F.lit, map(float, query)))
-    dot = F.aggregate(F.zip_with(F.col(vector), q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    return rows.where(F.size(vector) == len(query)).select(key, F.round(dot, 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+def rank_dense(rows: DataFrame, key: str, vector: str, queries: DataFrame, limit: int, block: int = 2048) -> DataFrame:
+    """(query, key, score, rank): for each vector of ``queries`` (same columns) the ``limit`` rows with the greatest dot
+    product, itself included, ties by key; scores are rounded to 6 decimals.
+
+    The queries are a stated set: ``block`` of them at a time go to the workers and meet every row, and each Arrow
+    batch gives only its own best rows on. Vectors that are null, have nulls or another size are left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    first = queries.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    dim = first[0] if first else 0
+    fine = lambda df: df.where((F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull()))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def job(ids: list, matrix: np.ndarray):
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                scores = np.round(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) @ matrix.T, 6)
+                for lo in range(0, len(ids), 256):
+                    part = scores[:, lo:lo + 256]
+                    # Everything that ties with the last of the best is kept, so that the tie is settled by key later.
+                    least = -np.sort(-part, axis=0)[min(limit, len(part)) - 1]
+                    r, q = np.nonzero(part >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type).take(pa.array(q + lo)), b.column(0).take(pa.array(r)), pa.array(part[r, q])], ["query", key, "score"])
+        return run
+
+    found, ids, vectors = None, [], []
+
+    def add():
+        part = fine(rows).select(key, vector).mapInArrow(job(list(ids), np.asarray(vectors, np.float64)), f"query {kind}, `{key}` {kind}, score double")
+        return part if found is None else found.unionByName(part)
+
+    for r in fine(queries).select(key, vector).toLocalIterator():
+        ids.append(r[0]), vectors.append(r[1])
+        if len(ids) == block:
+            found, ids, vectors = add(), [], []
+    if ids or found is None:
+        found = add() if ids else rows.sparkSession.createDataFrame([], f"query {kind}, `{key}` {kind}, score double")
+    best = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), key))
+    return found.withColumn("rank", best).where(F.col("rank") <= limit)
 
 
 def lexical(nodes: DataFrame, query: str, types: list[str] | None = None) -> DataFrame:

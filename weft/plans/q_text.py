@@ -36,9 +36,9 @@ def _cosine(s: SparkSession, d: str) -> DataFrame:
 
 
 def _dense(s: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 50, against all vectors."""
     v = table(s, d, "embeddings")
-    q = v.where("vec_id = 0").select("embedding").first()
-    return tx.rank_dense(v.where("label <= 4"), "vec_id", "embedding", q.embedding, 30)
+    return tx.rank_dense(v, "vec_id", "embedding", v.where("vec_id % 50 = 0"), 10)
 
 
 def _lexical_ranked(s: SparkSession, d: str) -> DataFrame:
@@ -151,7 +151,8 @@ ORACLE = {
     "tokenize_terms": NOW + _TOKENS.format(_TEXT, "n") + "SELECT * FROM tf WHERE tf > 0",
     "tfidf_idf": NOW + _TOKENS.format(_TEXT, "n") + _IDF + "SELECT token, df, round(idf, 6) AS idf FROM df",
     "tfidf_cosine": _cosine_sql(QUERY) + "SELECT id, round(score, 6) AS score FROM cosine",
-    "semantic_rank_dense": "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings WHERE label <= 4 ORDER BY score DESC, vec_id LIMIT 30",
+    "semantic_rank_dense": """WITH x AS (SELECT q.vec_id AS query, r.vec_id, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings r ON q.vec_id % 50 = 0)
+SELECT query, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM x) WHERE rank <= 10""",
     "lexical_prefix_and": NOW + _LEX + "SELECT * FROM hit",
     "hybrid_rrf": NOW + _LEX + "SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM sub) GROUP BY id",
     "hybrid_search": _cosine_sql(LEXICAL) + _LEX + """, sem AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM cosine QUALIFY rank <= 45)
