@@ -87,8 +87,9 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int, n_rows: int) -> D
     need = F.when(F.col(size).isNotNull(), F.greatest(F.col(size).cast("bigint"), F.lit(0)))
     items = sizes.select(F.col(key).alias("key"), need.alias("n"))
     starts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest(F.col("n"), F.lit(1)) - 1) / capacity).cast("bigint"))
-    cutup = items.where("n IS NOT NULL").select("key", F.posexplode(starts).alias("piece", "k"), "n")
-    cutup = cutup.select("key", "piece", (F.col("k") * capacity).alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("k") * capacity).alias("size"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp"))
+    cutup = items.select("key", F.posexplode(starts).alias("piece", "k"), "n")
+    known = F.col("n").isNotNull()
+    cutup = cutup.select("key", "piece", F.when(known, F.col("k") * capacity).alias("start"), F.when(known, F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("k") * capacity)).alias("size"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp"))
     laid = cutup.repartition("grp").sortWithinPartitions("grp", F.desc("size"), "key", "piece")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +99,9 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int, n_rows: int) -> D
             for group, n in zip(b.column("grp").to_pylist(), b.column("size").to_pylist()):
                 if group != at:
                     at, bins = group, OpenBins(capacity)
-                out.append((group << _BIN_BITS) | bins.put(n))
+                out.append(None if n is None else (group << _BIN_BITS) | bins.put(n))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + [pa.array(out, pa.int64())], ["key", "piece", "start", "size", "container"])
 
     kind = sizes.schema[key].dataType.simpleString()
     done = laid.mapInArrow(fill, f"key {kind}, piece int, start bigint, size bigint, container bigint")
-    none = items.where("n IS NULL").select("key", F.lit(0).alias("piece"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("container"))
-    return done.unionByName(none).withColumnRenamed("key", key)
+    return done.withColumnRenamed("key", key)
