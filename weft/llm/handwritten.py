@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weft.session import cut
+
 #: Folders that generators write to, and file names that they give.
 GENERATED_PATH = (r"(^|/)(gen|generated|__generated__|autogen|codegen|build/classes|build/generated|target/codegen|target/generated\w*)/"
                   r"|(^|/)zz_generated[_.]|_pb2(_grpc)?\.\w+$|\.pb\.\w+$|\.g\.\w+$|\.generated\.\w+$|_stub\.\w+$")
@@ -118,7 +120,7 @@ def _copied_trees(files: DataFrame) -> DataFrame:
     whole = files.select("path", "project", F.xxhash64(F.transform("leaves", lambda b: b["h"])).alias("h"), F.aggregate("leaves", F.lit(0), lambda a, b: a + b["n"]).alias("n")).distinct()
     same = whole.where(F.col("n") >= SUBTREE)
     same = same.join(_shared(same, ["h", "n"]), ["h", "n"], "left_semi").select("path")
-    deepest = whole.agg(F.max(F.size(F.split("path", "/"))).alias("d")).first()["d"] or 1
+    deepest = files.agg(F.max(F.size(F.split("path", "/"))).alias("d")).first()["d"] or 1
     dirs = directory_hashes(whole, min(MAX_LEVELS, deepest - 1)).where(F.col("n") >= SUBTREE)
     shared = dirs.join(_shared(dirs, ["h1", "h2", "n"]), ["h1", "h2", "n"], "left_semi").select("dir")
     seg = F.split("path", "/")
@@ -137,8 +139,9 @@ def not_handwritten(sources: DataFrame, path: str = "path", text: str = "text")
 
     A null or empty text is judged by its path alone. Null paths are left out. Repeated rows are one; of several
     texts of one path any that shows a mark counts. Nothing is compared pair by pair: content that many projects
-    share is one key with partial aggregates. Extra columns are ignored."""
-    rows = _marked(sources, path, text)
+    share is one key with partial aggregates. The texts are read once: what is known of each file goes to the shared
+    folder. Extra columns are ignored."""
+    rows = cut(_marked(sources, path, text))
     copied = _copied_pairs(rows).unionByName(_copied_trees(rows)).withColumn("copied", F.lit(True))
     flags = rows.select("path", "generated", "minified", "data", "foreign", F.lit(False).alias("copied"))
     none = F.lit(False)
