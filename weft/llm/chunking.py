@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from weft.llm import tokens
 
-_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
-_STOPS = np.array([ord(c) for c in ".!?…。"], np.uint32)
-_CLOSERS = np.array([ord(c) for c in "\"')]}»”’`*"], np.uint32)
+#: What a code point is, up to the last one that matters: bit 0 white space, bit 1 ends a sentence, bit 2 may follow that.
+_KINDS = np.array([chr(c).isspace() | (chr(c) in ".!?…。") << 1 | (chr(c) in "\"')]}»”’`*") << 2 for c in range(0x3003)] + [0], np.uint8)
 
 
 def boundaries(text: str, path: str, above: int = 0) -> tuple[str, np.ndarray]:
@@ -37,7 +36,8 @@ def boundaries(text: str, path: str, above: int = 0) -> tuple[str, np.ndarray]:
     ends = np.searchsorted(char_ends, token_ends, "left") + 1
     ends = np.minimum(ends, len(chars))
     whole = char_ends[ends - 1] == token_ends
-    space = np.isin(chars, _SPACES)
+    kinds = _KINDS[np.minimum(chars, len(_KINDS) - 1)]
+    space = (kinds & 1).astype(bool)
     newline = (chars == 10) | ((chars == 13) & (np.append(chars[1:], 0) != 10))
     lines = np.concatenate([[0], np.cumsum(newline)])
     solid = np.where(space, len(chars), np.arange(len(chars)))
@@ -45,13 +45,13 @@ def boundaries(text: str, path: str, above: int = 0) -> tuple[str, np.ndarray]:
     inside = np.minimum(ends, len(chars) - 1)
     natural = whole & (ends < len(chars)) & space[inside] & ~space[ends - 1]
     breaks = lines[next_solid[ends]] - lines[ends]
-    last, before = chars[ends - 1], chars[np.maximum(ends - 2, 0)]
-    stop = np.isin(last, _STOPS) | (np.isin(last, _CLOSERS) & np.isin(before, _STOPS))
-    letter = np.where(whole, "c", "x")
-    letter = np.where(natural, np.where(breaks >= 2, "P", np.where(breaks == 1, "L", np.where(stop, "S", "W"))), letter)
-    letter[-1] = "P"
+    last, before = kinds[ends - 1], kinds[np.maximum(ends - 2, 0)]
+    stop = ((last & 2) > 0) | (((last & 4) > 0) & ((before & 2) > 0))
+    letter = np.where(whole, ord("c"), ord("x")).astype(np.uint8)
+    letter[natural] = np.where(breaks >= 2, ord("P"), np.where(breaks == 1, ord("L"), np.where(stop, ord("S"), ord("W"))))[natural]
+    letter[-1] = ord("P")
     ends[-1] = len(chars)
-    return "".join(letter.tolist()), ends.astype(np.int32)
+    return letter.tobytes().decode("ascii"), ends.astype(np.int32)
 
 
 def pattern(limit: int, overlap: int) -> str:
