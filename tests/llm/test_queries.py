@@ -88,3 +88,11 @@ def check_pieces(text, pieces, path, limit, overlap):
         assert len(tokens.encode(r.text, path)) <= limit
         at = r.end_char
     assert at == len(text)
+
+
+@pytest.mark.parametrize("name", sorted(q.QUERIES))
+def test_no_cross_joins(spark, name):
+    import re
+
+    text = q.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", text), text[:3000]
