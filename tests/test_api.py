@@ -70,3 +70,16 @@ def test_settings(spark):
     ts = '{ // comment\n "compilerOptions": {"baseUrl": ".", "paths": {"@app/*": ["src/app/*"], "~": ["./src"], "u": ["http://x"]}, /* c */ } , }'
     got = settings.settings(spark, [("p", "tsconfig.json", ts), ("p", "go.mod", "module my/x\n\ngo 1.2\n"), ("p", "composer.json", '{"autoload": {"psr-4": {"App\\\\": "src/"}}}'), ("p", "tsconfig.json", "broken {")])
     assert rows(got, "prefix", "base")[:1] == [("@app/", "src/app")] and ("my/x/", "") in rows(got, "prefix", "base") and ("App\\", "src") in rows(got, "prefix", "base")
+
+
+def test_freshness(spark):
+    from weft.operators import freshness as fr
+
+    commits = spark.createDataFrame([("c1", date(2024, 1, 1)), ("c2", date(2024, 2, 1)), ("c3", date(2024, 2, 2)), ("c3", date(2024, 2, 2))], "sha string, date date")
+    touched = spark.createDataFrame([("c1", "p/a"), ("c2", "p/a"), ("c2", "q/b"), ("c3", "p/a")], "sha string, node string")
+    indexed = spark.createDataFrame([("r", "p", date(2024, 1, 15), "c1"), ("r", "q", date(2024, 1, 15), "c1"), ("s", "z", date(2024, 1, 1), "gone")], "repository string, project string, indexed_on date, head string")
+    dirty = spark.createDataFrame([("p/x",), ("p/x",)], "node string")
+    got = {r.repository: (r.head_known, r.behind, r.capped, r.n_files_behind, r.n_dirty) for r in fr.freshness(commits, touched, indexed, dirty).collect()}
+    assert got == {"r": (True, 2, False, 2, 1), "s": (False, 0, False, 0, 0)}
+    capped = fr.freshness(commits, touched, indexed, dirty, 1).withColumn("b", fr.banner(F.col("head_known"), F.col("behind"), F.col("capped"), F.col("n_dirty")))
+    assert {r.repository: r.b for r in capped.collect()} == {"r": "1+ commits behind, 1 files changed", "s": "history was rewritten: index again"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.api import Graph
-from weft.operators import deep
+from weft.operators import deep, freshness as fr
 from weft.plans.q_graph import NOW, edges, nodes
 from weft.plans.q_history import TOUCHED, _dirty, _touched
 from weft.session import table
@@ -45,7 +45,18 @@ def _deep(s: SparkSession, d: str) -> DataFrame:
     return out.select("other", "together", F.get("subjects", F.lit(0)).alias("latest"), "is_new")
 
 
+def _freshness(s: SparkSession, d: str) -> DataFrame:
+    """Repositories are the projects of one kind (the part behind the hyphen), indexed a hundred days before the last
+    indexing of each project."""
+    indexed = table(s, d, "files").where("project IS NOT NULL").groupBy("project").agg(F.date_sub(F.to_date(F.max("indexed_at")), 100).alias("indexed_on"))
+    head = table(s, d, "commits").where("sha IS NOT NULL AND project IS NOT NULL").groupBy("project").agg(F.max("sha").alias("head"))
+    r = indexed.join(head, "project", "left").withColumn("repository", F.substring_index("project", "-", -1))
+    out = fr.freshness(table(s, d, "commits"), _touched(s, d), r, _dirty(s, d), 100)
+    return out.withColumn("banner", fr.banner(F.col("head_known"), F.col("behind"), F.col("capped"), F.col("n_dirty")))
+
+
 QUERIES = {
+    "freshness_report": _freshness,
     "overview": lambda s, d: graph(s, d).overview(),
     "decisions_governed": _decisions,
     "get_node": _get,
@@ -57,6 +68,12 @@ QUERIES = {
 }
 
 ORACLE = {
+    "freshness_report": "WITH" + TOUCHED + """, ix AS (SELECT project, max(indexed_at)::DATE - 100 AS d FROM files WHERE project IS NOT NULL GROUP BY project), r AS (SELECT project, split_part(project, '-', -1) AS repository, d FROM ix),
+ia AS (SELECT repository, min(d) AS indexed_on FROM r GROUP BY repository), late AS (SELECT DISTINCT repository, sha, node FROM touched JOIN c USING (sha) JOIN r ON r.project = split_part(node, '/', 1) JOIN ia USING (repository) WHERE date > indexed_on),
+hd AS (SELECT DISTINCT repository FROM r JOIN commits USING (project) WHERE sha IS NOT NULL), b AS (SELECT repository, count(DISTINCT sha) AS n, count(DISTINCT node) AS f FROM late GROUP BY repository),
+dirty AS (SELECT path FROM (SELECT path, content_hash, row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC NULLS LAST) AS k FROM files) WHERE k = 1 AND content_hash IS NULL), dd AS (SELECT repository, count(*) AS n_dirty FROM dirty JOIN r ON r.project = split_part(path, '/', 1) GROUP BY repository),
+x AS (SELECT repository, indexed_on, repository IN (SELECT repository FROM hd) AS head_known, least(coalesce(n, 0), 100) AS behind, coalesce(n, 0) > 100 AS capped, coalesce(f, 0) AS n_files_behind, coalesce(n_dirty, 0) AS n_dirty FROM ia LEFT JOIN b USING (repository) LEFT JOIN dd USING (repository))
+SELECT *, CASE WHEN NOT head_known THEN 'history was rewritten: index again' ELSE nullif(concat_ws(', ', CASE WHEN behind > 0 THEN behind || CASE WHEN capped THEN '+' ELSE '' END || ' commits behind' END, CASE WHEN n_dirty > 0 THEN n_dirty || ' files changed' END), '') END AS banner FROM x""",
     "overview": NOW + """, st AS (SELECT project AS name, count(*) AS value, 'nodes_by_project' AS metric FROM n WHERE project IS NOT NULL GROUP BY project UNION ALL SELECT 'nodes', count(*), 'nodes' FROM n UNION ALL SELECT 'edges', count(*), 'edges' FROM e),
 ends AS (SELECT name FROM n WHERE type = 'entity' AND list_contains(tags, 'endpoint') ORDER BY name LIMIT 25),
 dg AS (SELECT id, count(*) AS d FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id), fl AS (SELECT n.id AS name, coalesce(d, 0) AS value FROM n LEFT JOIN dg USING (id) WHERE type = 'file' ORDER BY value DESC, name LIMIT 30)
