@@ -15,7 +15,7 @@ from weft.session import cut
 
 #: Folders that generators write to, and file names that they give.
 GENERATED_PATH = (r"(^|/)(gen|generated|__generated__|autogen|codegen|build/classes|build/generated|target/codegen|target/generated\w*)/"
-                  r"|(^|/)zz_generated[_.]|_pb2(_grpc)?\.\w+$|\.pb\.\w+$|\.g\.\w+$|\.generated\.\w+$|_stub\.\w+$")
+                  r"|(^|/)zz_generated[_.]|_pb2(_grpc)?\.\w+$|\.pb\.\w+$|\.g\.\w+$|\.generated\.\w+$|_(stub|gen)\.\w+$")
 MINIFIED_PATH = r"\.min\.\w+$|\.bundle\.\w+$|-[0-9a-f]{8,}\.(js|mjs|cjs|css)$"
 #: Folders of third-party code: a library's own folder must follow.
 VENDOR_PATH = r"(^|/)(node_modules|vendor|_vendor|third_party|thirdparty|extern|deps|bower_components|site-packages)/[^/]+/"
@@ -24,7 +24,14 @@ GENERATED_MARK = (r"(?i)@generated\b|<auto-?generated|\bauto-?generated\b|\b(cod
                   r"|\b(written|produced|emitted|created|generated) by \S+ (at build|from|during|at compile)|\bmachine[- ](output|generated|written)\b|\bdo not edit\b"
                   r"|\bhand edits will be\b|\bchanges made here (are|will be)\b|\bregenerate, do not\b|\bgenerado autom|\bno modificar a mano|\bg[eé]n[eé]r[eé] automatiquement|\bautomatisch (generiert|erzeugt)")
 NOT_GENERATED_MARK = r"(?i)\bnot (auto-?)?generated\b|\bwas generated once\b|\b(by hand|manually) since\b|\bmaintained by hand\b|\baround the generated\b|\bedit this file directly\b|\bbelow is ours\b|\bthis tool\b"
-TRAILER_MARK = r"(?i)\bend of (auto-?)?(emitted|generated|produced) (code|file|output)\b"
+TRAILER_MARK = r"(?i)\bend of (auto-?)?(emitted|generated|produced) (code|file|output)\b|\bsourceMappingURL=|\b(source )?(checksum|digest)\b.*\b[0-9a-f]{8,}\b"
+#: What declares a function on a line without its indentation; names that are none.
+FUNCTIONS = (r"^(?:(?:export|default|async|public|private|protected|static|final|abstract|synchronized|const|unsafe|pub(?:\([^)]*\))?)\s+)*(?:def|function\s*\*?|func|fn)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)",
+             r"^(?:export\s+)?(?:default\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^;]*=>|[A-Za-z_$][\w$]*\s*=>|function\b)",
+             r"^(?:(?:public|private|protected|static|final|abstract|synchronized|async|get|set|override|readonly)\s+)*(?:[\w<>\[\],.?]+\s+)?([A-Za-z_$][\w$]*)\s*\([^;{]*\)\s*(?::\s*[^{;=]+|throws\s+[\w, .]+)?\s*\{")
+NO_FUNCTIONS = ("if", "for", "while", "switch", "catch", "function", "return", "else", "match", "loop", "with", "do", "try")
+#: Functions from which a file is generated if all of their names contain the first word of its own.
+NAMED_ALIKE = 4
 NOTICE = r"(?i)\(c\)|©|\bcopyright\b"
 LICENCE = r"(?i)\blicen[cs]ed?\b|\bredistribution\b|\bwarranty\b"
 OWN_NOTICE = r"(?i)\binternal (use|code)\b|\ball rights reserved by us\b"
@@ -72,12 +79,15 @@ def _marked(sources: DataFrame, path: str, text: str) -> DataFrame:
     notice = ~own & _any(F.col("header"), lambda x: x.rlike(NOTICE)) & _any(F.col("header"), lambda x: x.rlike(LICENCE))
     said = _any(F.col("header"), lambda x: x.rlike(GENERATED_MARK) & ~x.rlike(NOT_GENERATED_MARK)) & ~_any(F.col("header"), lambda x: x.rlike(NOT_GENERATED_MARK))
     ended = _any(F.slice("lines", F.greatest(F.size("lines") - 2, F.lit(1)), F.lit(3)), lambda x: x.rlike(_COMMENT) & x.rlike(TRAILER_MARK))
+    named = F.filter(F.transform("code", lambda x: F.coalesce(*(F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for p in FUNCTIONS))), lambda n: n.isNotNull() & ~n.isin(*NO_FUNCTIONS))
+    stem = F.regexp_extract(F.lower(F.substring_index("path", "/", -1)), r"^(?:zz_generated_)?([a-z]{3,})", 1)
+    alike = (stem != "") & (F.size(named) >= NAMED_ALIKE) & F.forall(named, lambda n: F.lower(n).contains(stem))
     parts = F.transform(F.split("body", "\n[ \t]*\n"), lambda b: F.filter(F.transform(F.split(b, "\n"), _stripped), lambda x: x != ""))
     parts = F.filter(parts, lambda b: F.exists(b, lambda x: ~x.rlike(_COMMENT)))
     blocks = F.filter(F.transform(parts, lambda b: F.array_join(b, "\n")), lambda b: F.length(b) >= LEAF)
     leaves = F.transform(blocks, lambda b: F.struct(F.xxhash64(b).alias("h"), F.length(b).alias("n")))
     return df.select(
-        "path", "project", (said | ended | F.col("path").rlike(GENERATED_PATH)).alias("generated"),
+        "path", "project", (said | ended | alike | F.col("path").rlike(GENERATED_PATH)).alias("generated"),
         ((enough & (median >= LONG_LINES)) | F.col("path").rlike(MINIFIED_PATH)).alias("minified"),
         (enough & (F.length("joined") - F.length(bare) >= LITERALS * F.length("joined"))).alias("data"),
         (notice | (F.col("path").rlike(VENDOR_PATH) & ~own)).alias("foreign"), leaves.alias("leaves"))
@@ -131,8 +141,9 @@ def _copied_trees(files: DataFrame) -> DataFrame:
 def not_handwritten(sources: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, generated, minified, vendored, data) for each path, four booleans.
 
-    *generated*: a mark in the leading comment or the last lines, or a generator's folder or file name; comments that
-    say the opposite win over marks in the comment. *minified*: long lines throughout, or a bundler's file name.
+    *generated*: a mark in the leading comment or the last lines, or a generator's folder or file name, or functions that
+    are all named after the file (``NAMED_ALIKE`` at least); comments that say the opposite win over marks in the
+    comment. *minified*: long lines throughout, or a bundler's file name.
     *vendored*: a foreign notice, a library's folder below a vendor folder without the project's own notice, or
     content (the file, a directory above it, or most of its blocks, so that patched copies count) that another
     project has as well. *data*: mostly literals. The project is the first segment of the path.
