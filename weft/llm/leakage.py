@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weft.session import cut
+
 #: Words in one segment of the index, about; a segment is what a worker holds at a time.
 SEGMENT_WORDS = 2_000_000
 #: Items that one pass over the index looks for.
@@ -32,12 +34,13 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
+def build_index(docs: DataFrame, key: str, text: str, store: bool = True) -> DataFrame:
     """Segments of a positional inverted index over whole texts: the documents of a segment with their first
     position, its terms, and for each term the ordered positions (int32) at its offset (int64).
 
     Documents are laid out one behind the other with a gap, so that no phrase crosses them. The index does not
-    depend on what is searched; write it where several searches are to share it. Null and empty texts have no
+    depend on what is searched. It is stored in the shared folder, so that every block of items and every search
+    reads postings and not texts; with ``store=False`` it is only a plan. Null and empty texts have no
     postings. ``key`` must be integral. A text of any length is one document of one segment."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +73,8 @@ def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
         if parts:
             yield segment()
 
-    return docs.select(F.col(key).cast("bigint"), text).mapInArrow(build, _INDEX)
+    index = docs.select(F.col(key).cast("bigint"), text).mapInArrow(build, _INDEX)
+    return cut(index) if store else index
 
 
 class Segment:
