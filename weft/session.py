@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +23,26 @@ def local_session(cpus: int | str = 8, name: str = "weft", **conf: str) -> Spark
     }
     spark = SparkSession.builder.master(f"local[{cpus}]").appName(name).config(map=base | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a session, wherever they run and whatever their path is."""
+    if spark.conf.get("weft.shipped", None) == spark.sparkContext.applicationId:
+        return
+    here = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="weft-ship-"), "weft.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("weft.shipped", spark.sparkContext.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
