@@ -27,17 +27,21 @@ def local_session(cpus: int | str = 8, name: str = "weft", **conf: str) -> Spark
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once a session, wherever they run and whatever their path is."""
-    if spark.conf.get("weft.shipped", None) == spark.sparkContext.applicationId:
+    """Give the Python workers this package, once an application, wherever they run and whatever their path is."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
         return
-    here = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="weft-ship-"), "weft.zip")
+    here, folder = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="weft-ship-")
+    archive = os.path.join(folder, f"{os.path.basename(folder)}.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(here.rglob("*.py")):
             z.write(f, f.relative_to(here.parent))
     spark.sparkContext.addPyFile(archive)
-    spark.conf.set("weft.shipped", spark.sparkContext.applicationId)
+    _SHIPPED.add(app)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
