@@ -135,6 +135,15 @@ def test_domain(spark):
     assert rows(domain.entity_models(glossary, nodes), "source", "target") == [("domain:Order", "f::get_order")]
 
 
+def test_governs_documents(spark):
+    long = "x" * 500 + "orders.py" + "y" * 500
+    texts = spark.createDataFrame([(1, "See Orders.py, and my file.txt."), (2, "in reorders.python"), (3, long), (4, "file.txt alone; my  file.txt"), (5, "(((]]]) a.py"), (6, None), (7, "nothing")], "k int, t string")
+    files = spark.createDataFrame([("q/orders.py",), ("p/Orders.py",), ("p/my file.txt",), ("p/a.py",), ("p/((]]])",), (None,)], "path string")
+    want = [("1", "p/Orders.py"), ("1", "p/my file.txt"), ("2", "p/Orders.py"), ("3", "p/Orders.py"), ("5", "p/((]]])")]
+    assert rows(domain.governs_documents(texts, "k", "t", files), "source", "target") == want
+    assert domain.governs_documents(texts, "k", "t", files.limit(0)).count() == 0
+
+
 def test_extraction(spark):
     files = spark.createDataFrame([("p/pkg/a.py", "import os\nfrom .b import helper as h\nfrom . import c\n\nLIMIT = 3\n\nclass A:\n    '''Says A.'''\n    def run(self):\n        self.stop()\n        h()\n        c.go()\n    def stop(self): pass\n"),
                                    ("p/pkg/b.py", "def helper(x):\n    'Helps.'\n"), ("p/pkg/c.py", "def go(): pass\n"), ("p/broken.py", "def (:\n"), ("p/none.py", None)], "path string, text string")

@@ -11,6 +11,8 @@ DECISION_HEADING = r"(?i)(decis|arquitect|architect|\badr\b|rationale|por\s+qu[e
 RULE = r"(?i)\b(siempre|nunca|no\s+(se|debe|debes|uses|usar)|deb[eé]|deben|evita|evitar|oblig|prohib|import(ante|a)|regla|convenci|must|never|always|should|do\s+not|don't|required|ensure|avoid)\b"
 MAX_DECISIONS, MAX_CONVENTIONS, MAX_MODELS = 25, 40, 60
 SECTION_LINES, SHORTEST = 11, 15
+# The characters of words and file names, and all others.
+RUN, NO_RUN = r"[\w\-.]", r"[^\w\-.]"
 # Fixed value: what a path literal in source text looks like.
 PATH_LITERAL = r"['\"`](https?://[^'\"`]+|/[A-Za-z0-9][\w\-/]{2,})['\"`]"
 
@@ -56,6 +58,38 @@ def governs(texts: DataFrame, key: str, text: str, files: DataFrame, shortest: i
     return texts.where(F.col(text).isNotNull()).select(F.col(key).alias("source"), F.explode(found).alias("base")).join(names, "base").select("source", "target", F.lit("governs").alias("type"), F.lit(0.6).alias("confidence"))
 
 
+def governs_documents(texts: DataFrame, key: str, text: str, files: DataFrame, shortest: int = 5) -> DataFrame:
+    """Edges from a text to the file whose name stands anywhere in it, inside longer words as well (0.6), one file for
+    each name, the least. ``files`` has path.
+
+    Texts and names are cut into runs of word characters and runs of others, so the longest run of a name lies within
+    one run of each text that has the name. The distinct runs are joined with the first characters of the longest runs,
+    as many as the shortest has or a power of two, and then tested in full; only names of several runs are looked up in
+    whole texts. Only the lengths and whether there are such names go to the driver."""
+    low = texts.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("source"), F.lower(F.col(text)).alias("low"))
+    edge = ("source", "target", F.lit("governs").alias("type"), F.lit(0.6).alias("confidence"))
+    of = lambda c, least: F.regexp_extract_all(c, F.lit(f"{RUN}{{{least},}}|{NO_RUN}{{{least},}}"), F.lit(0))
+    longest = F.array_max(F.transform(of(F.col("base"), 1), lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
+    names = files.where("path IS NOT NULL").select(F.lower(F.substring_index("path", "/", -1)).alias("base"), "path").where(F.length("base") >= shortest).groupBy("base").agg(F.min("path").alias("target"))
+    names = names.withColumn("name", longest["run"])
+    seen = names.agg(F.min(F.length("name")).alias("least"), F.max(F.length("name")).alias("most"), F.coalesce(F.max(F.col("name") != F.col("base")), F.lit(False)).alias("several")).first()
+    least, most = seen.least or 1, seen.most or 1
+    sizes = [least] + [n for n in (2**k for k in range(most.bit_length())) if least < n <= most]
+    names = names.withColumn("piece", F.substring(F.col("name"), F.lit(1), F.greatest(*(F.when(F.length("name") >= n, n) for n in sizes), F.lit(0))))
+    runs = low.select("source", F.explode(F.array_distinct(of(F.col("low"), least))).alias("run"))
+    # A long run is cut into windows that overlap by the longest piece, so that no row has the pieces of a whole text.
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("run") - 1) / most).cast("int"))).alias("w")
+    parts = runs.select("run").distinct().select("run", at).select("run", F.substring(F.col("run"), F.col("w") * most + 1, F.lit(2 * most - 1)).alias("part"))
+    cuts = F.flatten(F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("part")), lambda n: F.transform(F.sequence(F.lit(1), F.length("part") - n + 1), lambda i: F.substring(F.col("part"), i, n))))
+    pieces = parts.select("run", F.explode(F.array_distinct(cuts)).alias("piece"))
+    hit = pieces.join(names, "piece").where(F.contains("run", "name")).select("run", "base", "target", (F.col("name") != F.col("base")).alias("several")).distinct()
+    found = runs.join(hit, "run").select("source", "base", "target", "several").distinct()
+    if not seen.several:
+        return found.select(*edge)
+    checked = found.where("several").join(low, "source").where(F.contains("low", "base")).select("source", "target")
+    return found.where("NOT several").select("source", "target").unionByName(checked).distinct().select(*edge)
+
+
 def entity_models(glossary: DataFrame, nodes: DataFrame, limit: int = MAX_MODELS) -> DataFrame:
     """Edges from an entity (``glossary``: entity, aliases) to symbols and files whose name or file name contains one of
     its aliases, the first ``limit`` by id (0.7).

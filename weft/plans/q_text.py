@@ -76,6 +76,11 @@ def _governs(s: SparkSession, d: str) -> DataFrame:
     return dm.governs(n.where("type IN ('decision', 'convention', 'doc')").select("id", F.concat_ws(" ", "name", "summary", "path").alias("text")), "id", "text", n.where("type IN ('file', 'doc') AND path IS NOT NULL").select(F.col("path").alias("id")).distinct()).select("source", "target")
 
 
+def _governs_documents(s: SparkSession, d: str) -> DataFrame:
+    """The files that whole texts of documents mention."""
+    return dm.governs_documents(_docs(s, d), "doc_id", "text", nodes(s, d).where("type = 'file'")).select("source", "target")
+
+
 def _models(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d)
     glossary = n.where("type = 'entity' AND name IS NOT NULL").select(F.substring_index("id", ":", -1).alias("entity"), F.array("name", F.lower(F.regexp_extract("name", "^[A-Z]?[a-z]+", 0))).alias("aliases"))
@@ -139,6 +144,7 @@ QUERIES = {
     "headings_sections": lambda s, d: _headings(s, d).select("doc_id", "n", "heading", "slug"),
     "conventions_firstn": lambda s, d: dm.conventions(_docs(s, d).where("kind = 'convention'"), "doc_id", "text").select("doc_id", "n", "convention"),
     "governs_substring": _governs,
+    "governs_documents": _governs_documents,
     "entity_models_cap": _models,
     "summaries": lambda s, d: dm.summaries(nodes(s, d), edges(s, d)),
     "content_hash": _hash,
@@ -175,6 +181,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM x W
     "governs_substring": NOW + r""", names AS (SELECT lower(split_part(path, '/', -1)) AS base, min(path) AS target FROM n WHERE type IN ('file', 'doc') AND path IS NOT NULL GROUP BY 1 HAVING length(base) >= 5),
 w AS (SELECT DISTINCT id AS source, unnest(regexp_extract_all(lower(concat_ws(' ', name, summary, path)), '[\w\-.]+\.\w+')) AS base FROM n WHERE type IN ('decision', 'convention', 'doc'))
 SELECT source, target FROM w JOIN names USING (base)""",
+    "governs_documents": NOW + """, names AS (SELECT lower(split_part(path, '/', -1)) AS base, min(path) AS target FROM n WHERE type = 'file' AND path IS NOT NULL GROUP BY 1 HAVING length(base) >= 5)
+SELECT doc_id::VARCHAR AS source, target FROM documents JOIN names ON contains(lower(text), base)""",
     "entity_models_cap": NOW + """, g AS (SELECT DISTINCT split_part(id, ':', -1) AS entity, lower(unnest([name, regexp_extract(name, '^[A-Z]?[a-z]+')])) AS alias FROM n WHERE type = 'entity' AND name IS NOT NULL),
 x AS (SELECT DISTINCT entity, n.id FROM n JOIN g ON alias <> '' AND (contains(lower(coalesce(name, '')), alias) OR contains(lower(coalesce(split_part(path, '/', -1), '')), alias)) WHERE type IN ('symbol', 'file'))
 SELECT 'domain:' || entity AS source, id AS target FROM x QUALIFY row_number() OVER (PARTITION BY entity ORDER BY id) <= 60""",
