@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import scalar as f
 from weft.operators import domain, extract, graph, logs, model, render, runtime, snapshots, temporal, text
+from weft.plans import q_text
 
 
 def rows(df, *cols):
@@ -144,6 +145,13 @@ def test_governs_documents(spark):
     assert domain.governs_documents(texts, "k", "t", files.limit(0)).count() == 0
 
 
+def test_conventions_of_every_markdown_document(spark, tmp_path):
+    line = "You must always close what you open"
+    docs = [(1, line, "convention", "a.md"), (2, line, "adr", "p/b.MD"), (3, line, "readme", None), (4, line, "runbook", "c.markdown"), (5, line, "log", "d.txt"), (6, None, "api", "e.md")]
+    spark.createDataFrame(docs, "doc_id long, text string, kind string, path string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(q_text.QUERIES["conventions_documents"](spark, str(tmp_path)), "doc_id", "n") == [(1, 1), (2, 1), (3, 1), (4, 1)]
+
+
 def test_extraction(spark):
     files = spark.createDataFrame([("p/pkg/a.py", "import os\nfrom .b import helper as h\nfrom . import c\n\nLIMIT = 3\n\nclass A:\n    '''Says A.'''\n    def run(self):\n        self.stop()\n        h()\n        c.go()\n    def stop(self): pass\n"),
                                    ("p/pkg/b.py", "def helper(x):\n    'Helps.'\n"), ("p/pkg/c.py", "def go(): pass\n"), ("p/broken.py", "def (:\n"), ("p/none.py", None)], "path string, text string")

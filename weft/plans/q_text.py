@@ -71,6 +71,12 @@ def _headings(s: SparkSession, d: str) -> DataFrame:
     return dm.decisions(_docs(s, d).where("kind <> 'code'"), "doc_id", "text", heading="(?i)context|decision|consequences|usage|adr-")
 
 
+def _conventions_documents(s: SparkSession, d: str) -> DataFrame:
+    """Rule lines of every Markdown document, whatever its kind; documents without a path count as such."""
+    docs = _docs(s, d).where(F.col("path").isNull() | F.lower("path").rlike(r"\.(md|markdown)$"))
+    return dm.conventions(docs, "doc_id", "text").select("doc_id", "n", "convention")
+
+
 def _governs(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d)
     return dm.governs(n.where("type IN ('decision', 'convention', 'doc')").select("id", F.concat_ws(" ", "name", "summary", "path").alias("text")), "id", "text", n.where("type IN ('file', 'doc') AND path IS NOT NULL").select(F.col("path").alias("id")).distinct()).select("source", "target")
@@ -128,6 +134,13 @@ shared AS (SELECT endpoint FROM ep GROUP BY 1 HAVING count(DISTINCT source) >= 2
 """
 _ROLE = "CASE WHEN path IS NULL OR path = '' THEN 'component' " + " ".join(f"WHEN contains(lower(path), '/{w}/') OR ends_with(lower(path), '/{w}') OR contains(split_part(lower(path), '/', -1), '{w}') THEN '{r}'" for w, r in f.ROLES) + " ELSE 'source file' END"
 
+
+
+def _conventions_sql(which: str) -> str:
+    return "WITH " + _DOC_LINES.format(which) + rf""", s AS (SELECT doc_id, n, trim(line) AS s FROM lines), x AS (SELECT doc_id, n, trim(regexp_replace(regexp_replace(s, '^([-*+]|[0-9]+\.)\s+', ''), '[`*_]', '', 'g')) AS c FROM s WHERE length(s) >= 15 AND NOT starts_with(s, '#') AND regexp_matches(s, '{dm.RULE.replace("'", "''")}')),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM x WHERE length(c) >= 15) SELECT doc_id, n::INT AS n, left(c, 200) AS convention FROM r WHERE k <= 40"""
+
+
 QUERIES = {
     "tokenize_terms": _terms,
     "tfidf_idf": _idf,
@@ -143,6 +156,7 @@ QUERIES = {
     "endpoint_projects": lambda s, d: dm.project_links(_endpoints(s, d), "source"),
     "headings_sections": lambda s, d: _headings(s, d).select("doc_id", "n", "heading", "slug"),
     "conventions_firstn": lambda s, d: dm.conventions(_docs(s, d).where("kind = 'convention'"), "doc_id", "text").select("doc_id", "n", "convention"),
+    "conventions_documents": _conventions_documents,
     "governs_substring": _governs,
     "governs_documents": _governs_documents,
     "entity_models_cap": _models,
@@ -178,6 +192,7 @@ x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM h W
 SELECT doc_id, n::INT AS n, heading, coalesce(nullif(left(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50), ''), 'sec') AS slug FROM x WHERE k <= 25""",
     "conventions_firstn": "WITH " + _DOC_LINES.format(" AND kind = 'convention'") + rf""", s AS (SELECT doc_id, n, trim(line) AS s FROM lines), x AS (SELECT doc_id, n, trim(regexp_replace(regexp_replace(s, '^([-*+]|[0-9]+\.)\s+', ''), '[`*_]', '', 'g')) AS c FROM s WHERE length(s) >= 15 AND NOT starts_with(s, '#') AND regexp_matches(s, '{dm.RULE.replace("'", "''")}')),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM x WHERE length(c) >= 15) SELECT doc_id, n::INT AS n, left(c, 200) AS convention FROM r WHERE k <= 40""",
+    "conventions_documents": _conventions_sql(r" AND (path IS NULL OR regexp_matches(lower(path), '\.(md|markdown)$'))"),
     "governs_substring": NOW + r""", names AS (SELECT lower(split_part(path, '/', -1)) AS base, min(path) AS target FROM n WHERE type IN ('file', 'doc') AND path IS NOT NULL GROUP BY 1 HAVING length(base) >= 5),
 w AS (SELECT DISTINCT id AS source, unnest(regexp_extract_all(lower(concat_ws(' ', name, summary, path)), '[\w\-.]+\.\w+')) AS base FROM n WHERE type IN ('decision', 'convention', 'doc'))
 SELECT source, target FROM w JOIN names USING (base)""",
