@@ -83,3 +83,20 @@ def test_freshness(spark):
     assert got == {"r": (True, 2, False, 2, 1), "s": (False, 0, False, 0, 0)}
     capped = fr.freshness(commits, touched, indexed, dirty, 1).withColumn("b", fr.banner(F.col("head_known"), F.col("behind"), F.col("capped"), F.col("n_dirty")))
     assert {r.repository: r.b for r in capped.collect()} == {"r": "1+ commits behind, 1 files changed", "s": "history was rewritten: index again"}
+
+
+def test_freshness_counts_up_to_the_default_cap(spark, tmp_path):
+    from datetime import datetime
+
+    from weft.plans import q_api
+
+    def report(n):
+        d = str(tmp_path / str(n))
+        tables = {"files": ([("p-ops", "p-ops/a", datetime(2024, 6, 1), "h")], "project string, path string, indexed_at timestamp, content_hash string"),
+                  "commits": ([(f"c{i}", "p-ops", "ann", date(2024, 5, 1), "x") for i in range(n)], "sha string, project string, author string, date date, subject string"),
+                  "commit_files": ([(f"c{i}", "M", None, "p-ops/a") for i in range(n)], "sha string, status string, old_path string, new_path string")}
+        for name, (data, schema) in tables.items():
+            spark.createDataFrame(data, schema).write.parquet(f"{d}/{name}.parquet")
+        return rows(q_api.QUERIES["freshness_commits"](spark, d), "repository", "behind", "capped")
+
+    assert report(150) == [("ops", 150, False)] and report(2001) == [("ops", 2000, True)]

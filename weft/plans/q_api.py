@@ -45,18 +45,19 @@ def _deep(s: SparkSession, d: str) -> DataFrame:
     return out.select("other", "together", F.get("subjects", F.lit(0)).alias("latest"), "is_new")
 
 
-def _freshness(s: SparkSession, d: str) -> DataFrame:
+def _freshness(s: SparkSession, d: str, cap: int) -> DataFrame:
     """Repositories are the projects of one kind (the part behind the hyphen), indexed a hundred days before the last
     indexing of each project."""
     indexed = table(s, d, "files").where("project IS NOT NULL").groupBy("project").agg(F.date_sub(F.to_date(F.max("indexed_at")), 100).alias("indexed_on"))
     head = table(s, d, "commits").where("sha IS NOT NULL AND project IS NOT NULL").groupBy("project").agg(F.max("sha").alias("head"))
     r = indexed.join(head, "project", "left").withColumn("repository", F.substring_index("project", "-", -1))
-    out = fr.freshness(table(s, d, "commits"), _touched(s, d), r, _dirty(s, d), 100)
+    out = fr.freshness(table(s, d, "commits"), _touched(s, d), r, _dirty(s, d), cap)
     return out.withColumn("banner", fr.banner(F.col("head_known"), F.col("behind"), F.col("capped"), F.col("n_dirty")))
 
 
 QUERIES = {
-    "freshness_report": _freshness,
+    "freshness_report": lambda s, d: _freshness(s, d, 100),
+    "freshness_commits": lambda s, d: _freshness(s, d, fr.MOST_COMMITS),
     "overview": lambda s, d: graph(s, d).overview(),
     "decisions_governed": _decisions,
     "get_node": _get,
@@ -98,3 +99,4 @@ cc AS (SELECT sha, date, subject, row_number() OVER (PARTITION BY sha ORDER BY d
 r AS (SELECT *, row_number() OVER (PARTITION BY other ORDER BY date DESC NULLS LAST, sha DESC) AS k, count(*) OVER (PARTITION BY other) AS together FROM w)
 SELECT other, together, subject AS latest, other NOT IN (SELECT target FROM e WHERE source = (SELECT node FROM busy) AND type = 'co_changes_with') AS is_new FROM r WHERE k = 1 AND together >= 2""",
 }
+ORACLE["freshness_commits"] = ORACLE["freshness_report"].replace("least(coalesce(n, 0), 100)", f"least(coalesce(n, 0), {fr.MOST_COMMITS})").replace("coalesce(n, 0) > 100 AS", f"coalesce(n, 0) > {fr.MOST_COMMITS} AS")
