@@ -108,6 +108,13 @@ def test_handwritten(spark):
     assert handwritten.not_handwritten(df.limit(0)).count() == 0
 
 
+def test_mark_below_a_long_licence(spark):
+    licence = "".join(f"# Line {i} of a long text about terms.\n" for i in range(30))
+    data = [("p/a/late.py", licence + "# Code generated by tool. DO NOT EDIT.\n" + HAND), ("p/a/none.py", licence + HAND.replace("own", "g1")), ("p/a/body.py", licence + HAND.replace("own", "g2") + "# Code generated by tool. DO NOT EDIT.\nx = 1\n" + HAND.replace("own", "g3"))]
+    got = {r.path: r.generated for r in handwritten.not_handwritten(spark.createDataFrame(data, "path string, text string")).collect()}
+    assert got == {"p/a/late.py": True, "p/a/none.py": False, "p/a/body.py": False}
+
+
 def test_directory_hashes(spark):
     """Equal trees have equal hashes, whatever they are called; a changed leaf changes all above it."""
     leaf = lambda proj, path, h: (proj, f"{proj}/{path}", h, 400)

@@ -36,7 +36,6 @@ NOTICE = r"(?i)\(c\)|©|\bcopyright\b"
 LICENCE = r"(?i)\blicen[cs]ed?\b|\bredistribution\b|\bwarranty\b"
 OWN_NOTICE = r"(?i)\binternal (use|code)\b|\ball rights reserved by us\b"
 
-HEADER_LINES = 20
 #: Shortest block in characters that is a leaf, and least text of a directory or file node that counts as shared.
 LEAF, SUBTREE = 50, 300
 #: Share of a file's pairs of blocks, by length, that must occur elsewhere; the rest may be patched.
@@ -65,9 +64,8 @@ def _marked(sources: DataFrame, path: str, text: str) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^﻿", ""), "\r\n?", "\n")
     df = sources.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), project_of(F.col(path)).alias("project"), body.alias("body"))
     df = df.withColumn("lines", F.filter(F.transform(F.split("body", "\n"), _stripped), lambda x: x != ""))
-    top = F.slice("lines", 1, HEADER_LINES)
-    first_code = F.array_position(F.transform(top, lambda x: x.rlike(_COMMENT)), False)
-    df = df.withColumn("header", F.when(first_code == 0, top).otherwise(F.slice(top, F.lit(1), F.greatest(first_code - 1, F.lit(0)).cast("int"))))
+    first_code = F.array_position(F.transform("lines", lambda x: x.rlike(_COMMENT)), False)
+    df = df.withColumn("header", F.when(first_code == 0, F.col("lines")).otherwise(F.slice("lines", F.lit(1), F.greatest(first_code - 1, F.lit(0)).cast("int"))))
     df = df.withColumn("code", F.filter("lines", lambda x: ~x.rlike(_COMMENT)))
     df = df.withColumn("joined", F.array_join("code", "\n"))
     bare = F.regexp_replace(F.regexp_replace(F.col("joined"), r"\\.", ""), "\"[^\"\n]*+\"|'[^'\n]*+'|`[^`]*+`", "")
