@@ -119,9 +119,37 @@ def test_directory_hashes(spark):
     """Equal trees have equal hashes, whatever they are called; a changed leaf changes all above it."""
     leaf = lambda proj, path, h: (proj, f"{proj}/{path}", h, 400)
     data = [leaf("p", "lib/a/x", 1), leaf("p", "lib/a/y", 2), leaf("p", "lib/z", 3), leaf("q", "vend/zed/a/x", 1), leaf("q", "vend/zed/a/y", 2), leaf("q", "vend/zed/z", 3), leaf("r", "lib/a/x", 1), leaf("r", "lib/a/y", 9), leaf("r", "lib/z", 3)]
-    for levels in (10, 4):
-        d = {r.dir: (r.h1, r.h2, r.n) for r in handwritten.directory_hashes(spark.createDataFrame(data, "project string, path string, h long, n int"), levels).collect()}
-        assert d["p/lib"] == d["q/vend/zed"] != d["r/lib"] and d["p/lib/a"] == d["q/vend/zed/a"] != d["r/lib/a"] and d["p/lib"][2] == 1200
+    nodes = handwritten.directory_nodes(spark.createDataFrame(data, "project string, path string, h long, n int"))
+    d = {r.dir: (r.h1, r.h2, r.n) for r in handwritten.directory_hashes(nodes).collect()}
+    assert d["p/lib"] == d["q/vend/zed"] != d["r/lib"] and d["p/lib/a"] == d["q/vend/zed/a"] != d["r/lib/a"] and d["p/lib"][2] == 1200
+
+
+def test_copies_are_found_by_hashes_alone(spark):
+    """Copies without a notice and outside vendor folders: identical however short, patched, without empty lines, and
+    empty files below a shared directory. Without the hashes none of these rows would be there."""
+    long = "\n".join(f"    step_{i} = prepare(step_{i - 1}, {i * 7919 % 1000}) + offset_{i * 31 % 97}" for i in range(400))
+    patched = long.replace("step_200 = prepare(", "step_200 = prepare_better(")
+    data = [("p/src/tiny.py", "x = f(1)"), ("q/lib/deep/small.py", "\n# another comment\nx = f(1)\n"), ("p/src/long.py", long), ("q/a/b/c/other.py", patched), ("p/core/one.py", BODY), ("r/x/y/two.py", BODY.replace("value * 3", "value // 3")),
+            ("p/m/kit/__init__.py", ""), ("p/m/kit/k.py", "k = 1"), ("q/n/tool/__init__.py", ""), ("q/n/tool/k.py", "k = 1"), ("q/n/__init__.py", ""), ("s/only.py", HAND), ("s/again.py", HAND), ("p/note.txt", "# a comment only"), ("q/note.txt", "# a comment only"), ("s/more.py", HAND.replace("own", "mine"))]
+    got = {r.path: r for r in handwritten.not_handwritten(spark.createDataFrame(data, "path string, text string")).collect()}
+    hand = {"q/n/__init__.py", "s/only.py", "s/again.py", "s/more.py"}
+    assert {p for p, r in got.items() if r.copied} == {p for p, _ in data} - hand
+    assert not any(r.generated or r.minified or r.data for r in got.values())
+    marks = handwritten._marked(spark.createDataFrame(data, "path string, text string"), "path", "text")
+    assert marks.where("generated OR minified OR data OR foreign").count() == 0
+
+
+def test_header_sentences(spark):
+    says = ["This module was produced by weaver from api.yaml.", "Never edit; regenerate and do not change it.", "Edits made here will be lost.", "AUTO-GENERATED", "machine-generated bindings", "output automatically created by x"]
+    denies = ["This file is not generated.", "It was created once, and is maintained by hand.", "Wraps the generated client.", 'It writes the banner "Code generated by this. DO NOT EDIT." to files.', "Generates code for the API."]
+    data = [(f"p/a/y{i}.go", f"// {x}\npackage a{i}\nfunc F{i}() {{}}") for i, x in enumerate(says)] + [(f"p/a/n{i}.go", f"// {x}\npackage b{i}\nfunc G{i}() {{}}") for i, x in enumerate(denies)]
+    got = {r.path for r in handwritten.not_handwritten(spark.createDataFrame(data, "path string, text string")).collect() if r.generated}
+    assert got == {f"p/a/y{i}.go" for i in range(len(says))}
+
+
+def test_copies_plan_is_small(spark):
+    df = spark.createDataFrame([("p/a/b.py", HAND)], "path string, text string")
+    assert handwritten.not_handwritten(df)._jdf.queryExecution().executedPlan().toString().count("Exchange ") < 30
 
 
 def test_long_sources(spark):
