@@ -1,7 +1,8 @@
 """Functions paired with their documentation, from source files that may be broken.
 
-Text becomes tokens with comments aside; brackets are matched, with a guess from indentation where one is missing; the
-declarations are parsed by a generalised LL grammar of the language; whatever does not parse is stepped over.
+A text is outlined by its brackets, strings and comments; only stretches that can hold declarations become tokens, and
+these are parsed by a generalised LL grammar of the language. The grammars recover from errors themselves: a body that is
+never closed is a symbol of its own (``{?``), ended by indentation. Whatever does not parse is stepped over.
 """
 
 from __future__ import annotations
@@ -10,18 +11,20 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.gll import Grammar, Parser
+from weft.llm.gll import Ends, Grammar, Parser, State
 
 #: A description on at least so many differently named functions of at least so many projects is a template.
 TEMPLATE_NAMES, TEMPLATE_PROJECTS, TEMPLATE_SHARE = 25, 5, 0.002
 LEAST_WORDS = 5
 
-LANGUAGES = {"py": "py", "pyi": "py", "js": "js", "mjs": "js", "cjs": "js", "jsx": "js", "ts": "js", "tsx": "js", "mts": "js", "go": "go", "java": "java", "rs": "rs"}
+LANGUAGES = {"py": "py", "pyi": "py", "js": "js", "mjs": "js", "cjs": "js", "jsx": "js", "ts": "js", "tsx": "js", "mts": "js", "go": "go", "java": "java", "rs": "rs",
+             "c": "c", "h": "c", "cc": "c", "cpp": "c", "cxx": "c", "hh": "c", "hpp": "c", "hxx": "c", "cs": "cs", "php": "php", "r": "r"}
 
 
 @dataclass
@@ -36,10 +39,10 @@ class Function:
 class Tokens:
     kinds: list[str]
     texts: list[str]
+    offsets: list[int]
     lines: list[int]
     columns: list[int]
-    match: list[int]
-    comments: dict[int, tuple[int, str]]
+    match: dict[int, int]
 
 
 _KEYWORDS = {
@@ -48,82 +51,157 @@ _KEYWORDS = {
     "java": {"class", "interface", "enum", "record", "public", "private", "protected", "static", "final", "abstract", "synchronized", "native", "default", "strictfp", "sealed", "throws", "extends", "implements", "permits", "if", "for", "while", "switch", "catch", "return", "new", "else", "do", "throw", "import", "package", "try", "assert", "case"},
     "rs": {"fn", "impl", "trait", "mod", "struct", "enum", "union", "pub", "const", "async", "unsafe", "extern", "default", "for", "where", "dyn", "use", "let", "if", "while", "loop", "match", "return", "type", "static", "mut"},
     "py": {"def", "class", "async", "if", "for", "while", "return", "import", "from", "with", "try", "lambda"},
+    "c": {"namespace", "class", "struct", "union", "enum", "template", "extern", "static", "inline", "virtual", "explicit", "friend", "const", "constexpr", "noexcept", "override", "final", "operator", "typedef", "using", "return", "if", "for", "while", "switch", "else", "do", "case", "new", "delete", "throw", "goto", "try", "catch", "default"},
+    "cs": {"namespace", "class", "interface", "struct", "enum", "record", "public", "private", "protected", "internal", "static", "virtual", "override", "async", "sealed", "abstract", "partial", "readonly", "extern", "unsafe", "new", "where", "using", "return", "if", "for", "foreach", "while", "switch", "else", "do", "throw", "lock", "try", "catch", "await", "case", "base", "this", "event", "delegate", "operator"},
+    "php": {"namespace", "class", "interface", "trait", "enum", "public", "private", "protected", "static", "final", "abstract", "readonly", "function", "extends", "implements", "return", "if", "for", "foreach", "while", "switch", "else", "new", "use", "echo", "catch", "try", "throw", "const"},
+    "r": {"function", "if", "for", "while", "return", "else", "repeat"},
 }
 _LEX = {
-    lang: re.compile("|".join(f"(?P<{n}>{p})" for n, p in parts), re.S)
+    lang: re.compile(f"(?:{parts[0][1]})?(?:" + "|".join(f"(?P<{n}>{p})" for n, p in parts[1:]) + "|$)", re.S)
     for lang, parts in {
         "js": [("ws", r"[ \t\r\f\v﻿]+"), ("nl", r"\n"), ("cm", r"//[^\n]*|/\*.*?(?:\*/|\Z)"), ("str", r"\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*(?:`|\Z)"), ("id", r"[A-Za-z_$#À-￿][\w$]*"), ("num", r"\d[\w.]*"), ("op", r"=>|\.\.\.|[=!<>]=+|&&|\|\||\?\?|\?\.|.")],
         "go": [("ws", r"[ \t\r\f\v﻿]+"), ("nl", r"\n"), ("cm", r"//[^\n]*|/\*.*?(?:\*/|\Z)"), ("str", r"\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|`[^`]*(?:`|\Z)"), ("id", r"[A-Za-z_À-￿]\w*"), ("num", r"\d[\w.]*"), ("op", r":=|[=!<>]=|&&|\|\||<-|\.\.\.|.")],
         "java": [("ws", r"[ \t\r\f\v﻿]+"), ("nl", r"\n"), ("cm", r"//[^\n]*|/\*.*?(?:\*/|\Z)"), ("str", r"\"\"\".*?(?:\"\"\"|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?"), ("id", r"[A-Za-z_$À-￿][\w$]*"), ("num", r"\d[\w.]*"), ("op", r"->|::|[=!<>]=|&&|\|\||.")],
         "rs": [("ws", r"[ \t\r\f\v﻿]+"), ("nl", r"\n"), ("cm", r"//[^\n]*|/\*.*?(?:\*/|\Z)"), ("str", r"b?r(#*)\".*?(?:\"\1|\Z)|b?\"(?:[^\"\\]|\\.)*(?:\"|\Z)|b?'(?:\\[^\n]{1,9}?|[^'\\\n])'"), ("life", r"'\w+"), ("id", r"(?:r#)?[A-Za-z_À-￿]\w*"), ("num", r"\d[\w.]*"), ("op", r"->|=>|::|[=!<>]=|&&|\|\||.")],
+        "c": [("ws", r"[ \t\r\f\v﻿]+"), ("nl", r"\n"), ("cm", r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?m:^)\#(?:[^\n\\]|\\\n|\\)*"), ("str", r"R\"(\w*)\(.*?(?:\)\1\"|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?"), ("id", r"[A-Za-z_À-￿]\w*"), ("num", r"\d(?:[\w.]|'\w)*"), ("op", r"->|::|[=!<>]=|&&|\|\||.")],
+        "cs": [("ws", r"[ \t\r\f\v﻿]+"), ("nl", r"\n"), ("cm", r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?m:^)\#[^\n]*"), ("str", r"\"\"\".*?(?:\"\"\"|\Z)|\$?@\$?\"(?:[^\"]|\"\")*(?:\"|\Z)|\$?\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?"), ("id", r"@?[A-Za-z_À-￿]\w*"), ("num", r"\d[\w.]*"), ("op", r"=>|::|[=!<>]=|&&|\|\||\?\?|\?\.|.")],
+        "php": [("ws", r"[ \t\r\f\v﻿]+"), ("nl", r"\n"), ("cm", r"//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z)"), ("str", r"\"(?:[^\"\\]|\\.)*(?:\"|\Z)|'(?:[^'\\]|\\.)*(?:'|\Z)"), ("id", r"[\\$]?[A-Za-z_À-￿][\w\\]*"), ("num", r"\d[\w.]*"), ("op", r"<\?(?:php|=)?|\?>|->|=>|::|[=!<>]=+|&&|\|\||\?\?|\.\.\.|.")],
+        "r": [("ws", r"[ \t\r\f\v﻿]+"), ("nl", r"\n"), ("cm", r"\#[^\n]*"), ("str", r"\"(?:[^\"\\]|\\.)*(?:\"|\Z)|'(?:[^'\\]|\\.)*(?:'|\Z)|`[^`\n]*`?"), ("id", r"[A-Za-z.À-￿][\w.]*"), ("num", r"\d[\w.]*"), ("op", r"<<?-|->|[=!<>]=|&&|\|\||.")],
         "py": [("ws", r"(?:[ \t\f\v﻿]|\\\r?\n|\r(?=\n))+"), ("nl", r"\n|\r"), ("cm", r"#[^\n\r]*"), ("str", r"(?:[rRbBuUfF]{0,3})(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?)"), ("id", r"[A-Za-z_À-￿]\w*"), ("num", r"\d[\w.]*"), ("op", r"->|:=|[=!<>]=|\*\*|//|.")],
     }.items()
 }
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
+_OPENS = {b: a for a, b in _PAIRS.items()}
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _BEFORE_REGEX = {"(", ",", "=", ":", "[", "!", "&&", "||", "?", "{", "}", ";", "return", "=>", "??", ""}
 
 
-def lex(text: str, lang: str) -> Tokens:
-    """Tokens with line and column; ``comments`` maps the last line of each comment that has its lines to itself to
-    its first line and text. Brackets are matched; a bracket without its partner gets one by :func:`_mend`."""
-    pattern, words = _LEX[lang], _KEYWORDS[lang]
-    kinds, texts, lines, columns = [], [], [], []
-    found: list[tuple[int, int, str, bool]] = []
-    line, start, at, size, clean = 1, 0, 0, len(text), True
-    opened: list[int] = []
-    match: list[int] = []
-    while at < size:
-        m = pattern.match(text, at)
-        kind, s = m.lastgroup, m.group()
-        end = m.end()
-        if kind == "nl":
-            line, start, clean = line + 1, end, True
-            if lang == "py" and not opened and kinds and kinds[-1] != "nl":
-                kinds.append("nl"), texts.append(s), lines.append(line - 1), columns.append(at - start), match.append(-1)
-        elif kind == "cm":
-            inner = s.count("\n")
-            found.append((line, line + inner, s, clean))
-            if inner:
-                line, start = line + inner, at + s.rfind("\n") + 1
-        elif kind != "ws":
-            if lang == "js" and s == "/" and (kinds[-1] if kinds else "") in _BEFORE_REGEX and (r := _REGEX.match(text, at)):
-                kind, s, end = "str", r.group(), r.end()
-            if lang == "py" and opened and clean and (s in ("def", "class", "async") or (s == "@" and text[at + 1:at + 2].isidentifier())):
-                opened.clear()
-                kinds.append("nl"), texts.append("\n"), lines.append(line - 1), columns.append(0), match.append(-1)
-            i = len(kinds)
-            kinds.append(s if kind == "op" or (kind == "id" and s in words) else kind)
-            texts.append(s), lines.append(line), columns.append(at - start), match.append(-1)
-            clean = False
+# The strings, comments and brackets of a text, with what lies between them skipped in one go.
+_COARSE = {
+    lang: re.compile(rf"[^(){{}}\[\]{skip}]*(?:{cm}|(?P<str>{st})|(?P<op>[(){{}}\[\]])|(?P<nl>\n|\r\n?)|(?P<any>\\\r?\n|.)|\Z)", re.S)
+    for lang, skip, cm, st in (
+        ("js", "\"'`/", r"(?P<cm>//[^\n]*|/\*.*?(?:\*/|\Z))", r"\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*(?:`|\Z)"),
+        ("go", "\"'`/", r"(?P<cm>//[^\n]*|/\*.*?(?:\*/|\Z))", r"\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|`[^`]*(?:`|\Z)"),
+        ("java", "\"'/", r"(?P<cm>//[^\n]*|/\*.*?(?:\*/|\Z))", r"\"\"\".*?(?:\"\"\"|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?"),
+        ("rs", "\"'/#", r"(?P<cm>//[^\n]*|/\*.*?(?:\*/|\Z))", r"(?<=r)(?P<h>#*)\".*?(?:\"(?P=h)|\Z)|\"(?:[^\"\\]|\\.)*(?:\"|\Z)|'(?:\\[^\n]{1,9}?|[^'\\\n])'"),
+        ("c", "\"'/#", r"(?P<cm>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<pp>\#(?:[^\n\\]|\\\n|\\)*)", r"(?<=R)\"(?P<h>\w*)\(.*?(?:\)(?P=h)\"|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|(?<!\d)'(?:[^'\\\n]|\\.)*'?"),
+        ("cs", "\"'/#", r"(?P<cm>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<pp>\#[^\n]*)", r"\"\"\".*?(?:\"\"\"|\Z)|(?:(?<=@)|(?<=@\$))\"(?:[^\"]|\"\")*(?:\"|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?"),
+        ("php", "\"'/#", r"(?P<cm>//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z))", r"\"(?:[^\"\\]|\\.)*(?:\"|\Z)|'(?:[^'\\]|\\.)*(?:'|\Z)"),
+        ("r", "\"'`#", r"(?P<cm>\#[^\n]*)", r"\"(?:[^\"\\]|\\.)*(?:\"|\Z)|'(?:[^'\\]|\\.)*(?:'|\Z)|`[^`\n]*`?"),
+        ("py", "\"'#\\\n\r", r"(?P<cm>\#[^\n\r]*)", r"\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?"),
+    )
+}
+_INDENT = re.compile(r"[ \t\f\v﻿]*")
+_PY_HEAD = re.compile(r"@(?=[^\W\d])|(?:def|class|async)\b")
+
+
+def _regex_may_follow(text: str, at: int) -> bool:
+    at -= 1
+    while at >= 0 and text[at].isspace():
+        at -= 1
+    return at < 0 or text[at] in "(,=:[!&|?{};" or text[at] == ">" and text[at - 1:at] == "=" or text[max(0, at - 5):at + 1] == "return"
+
+
+class Outline:
+    """The brackets, comments and lines of a text, without its other tokens.
+
+    ``close`` tells where a bracket is closed: one that is closed from outside stays open, and a round or square one does
+    not reach out of a brace; what stays open is ended by the grammar. ``comments`` maps the last line of each
+    comment that has its lines to itself to its first line and text. ``logical`` has offset and column of Python's lines."""
+
+    def __init__(self, text: str, lang: str):
+        self.text, py, js = text, lang == "py", lang == "js"
+        self.close: dict[int, int] = {}
+        self.logical: list[tuple[int, int]] = []
+        breaks = [i for i, c in enumerate(text) if c == "\n"] if len(text) < 64 else np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32) == 10).tolist()
+        self.breaks = breaks
+        found: list[tuple[int, int, str, bool]] = []
+        opened: list[int] = []
+        inside, outside = dict.fromkeys(_PAIRS, 0), []
+        at, size, find = 0, len(text), _COARSE[lang].match
+        if py:
+            self._logical(0, False)
+        while at < size:
+            m = find(text, at)
+            kind, end = m.lastgroup, m.end()
             if kind == "op":
-                if s in _PAIRS:
-                    opened.append(i)
-                elif s in ")]}":
-                    if opened and _PAIRS[texts[opened[-1]]] == s:
-                        match[opened[-1]] = i
-                        match[i] = opened.pop()
-                    elif any(_PAIRS[texts[o]] == s for o in opened[-4:]):
-                        while _PAIRS[texts[opened[-1]]] != s:
-                            opened.pop()
-                        match[opened[-1]] = i
-                        match[i] = opened.pop()
-            else:
-                inner = s.count("\n") if kind == "str" else 0
-                if inner:
-                    line, start = line + inner, at + s.rfind("\n") + 1
-        at = end
-    if lang == "py":
-        kinds.append("nl"), texts.append(""), lines.append(line), columns.append(0), match.append(-1)
-    comments = _comment_runs(found, set(lines))
-    return Tokens(kinds, texts, lines, columns, match, comments)
-
-
-def _comment_runs(found: list[tuple[int, int, str, bool]], code: set[int]) -> dict[int, tuple[int, str]]:
+                at = end - 1
+                s = text[at]
+                own = _OPENS.get(s)
+                if own is None:
+                    opened.append(at)
+                    inside[s] += 1
+                    if s == "{" and not py:
+                        outside.append(inside)
+                        inside = dict.fromkeys(_PAIRS, 0)
+                elif inside[own] or (own == "{" and outside):
+                    while text[o := opened.pop()] != own:
+                        inside[text[o]] -= 1
+                    if own == "{" and not py:
+                        inside = outside.pop()
+                    inside[own] -= 1
+                    self.close[o] = at
+            elif kind == "cm":
+                begin = m.start(kind)
+                s = text[begin:end]
+                line = bisect_right(breaks, begin - 1)
+                found.append((line + 1, line + 1 + s.count("\n"), s, not text[breaks[line - 1] + 1 if line else 0:begin].strip(" \t\r\f\v﻿")))
+            elif kind == "nl":
+                if py and self._logical(end, bool(opened)):
+                    opened, inside = [], dict.fromkeys(_PAIRS, 0)
+            elif js and kind == "any" and text[end - 1] == "/" and _regex_may_follow(text, end - 1) and (r := _REGEX.match(text, end - 1)):
+                end = r.end()
+            elif kind is None:
+                break
+            at = end
+        self.comments = _comment_runs(found)
+
+    def _logical(self, at: int, inside: bool) -> bool:
+        """Takes down the line that begins here, unless it is inside brackets; a declaration ends what is open."""
+        i = _INDENT.match(self.text, at).end()
+        if self.text[i:i + 1] in ("", "\n", "\r", "#") or inside and not _PY_HEAD.match(self.text, i):
+            return False
+        self.logical.append((i, i - at))
+        return inside
+
+    def tokens(self, lang: str, lo: int, hi: int) -> Tokens:
+        """The tokens of a stretch, and one more for the end. What is inside closed brackets is left out."""
+        text, words, js, py, close, find = self.text, _KEYWORDS[lang], lang == "js", lang == "py", self.close, _LEX[lang].match
+        kinds, texts, offsets, match = [], [], [], {}
+        at = lo
+        while at < hi:
+            m = find(text, at, hi)
+            kind, end = m.lastgroup, m.end()
+            if kind is None:
+                break
+            if kind == "nl":
+                if py and kinds and kinds[-1] != "nl":
+                    kinds.append("nl"), texts.append("\n"), offsets.append(m.start(kind))
+            elif kind != "cm":
+                at = m.start(kind)
+                s = text[at:end]
+                if js and s == "/" and (kinds[-1] if kinds else "") in _BEFORE_REGEX and (r := _REGEX.match(text, at, hi)):
+                    kind, s, end = "str", r.group(), r.end()
+                kinds.append(s if kind == "op" or (kind == "id" and s in words) else kind)
+                texts.append(s), offsets.append(at)
+                if kind == "op" and s in _PAIRS and (c := close.get(at, hi)) < hi:
+                    match[len(kinds) - 1] = len(kinds)
+                    kinds.append(text[c]), texts.append(text[c]), offsets.append(c)
+                    end = c + 1
+            at = end
+        if py and kinds and kinds[-1] != "nl":
+            kinds.append("nl"), texts.append(""), offsets.append(hi)
+        lines = [bisect_right(self.breaks, o - 1) for o in offsets] if len(offsets) < 32 else np.searchsorted(self.breaks, offsets, "left").tolist()
+        columns = [o - (self.breaks[k - 1] + 1 if k else 0) for o, k in zip(offsets, lines)]
+        kinds.append("")
+        return Tokens(kinds, texts, offsets, [k + 1 for k in lines], columns, match)
+
+
+def _comment_runs(found: list[tuple[int, int, str, bool]]) -> dict[int, tuple[int, str]]:
     """Line comments on neighbouring lines are one comment."""
     runs: dict[int, tuple[int, str]] = {}
     for first, last, s, clean in found:
-        if not clean or (last != first and last in code and not s.endswith("*/")):
+        if not clean:
             continue
         before = runs.get(first - 1)
         if not s.startswith("/*") and before and not before[1].startswith("/*"):
@@ -140,16 +218,16 @@ _JS: Grammar = {
     "Mods": [(), ("Mods", "Mod")],
     "Mod": [(k,) for k in ("export", "default", "async", "static", "public", "private", "protected", "readonly", "abstract", "override", "declare", "get", "set")] + [("Note",)],
     "Note": [("@", "Dotted"), ("@", "Dotted", "()")],
-    "Dotted": [("name",), ("name", ".", "Dotted")],
+    "Dotted": [("name",), ("Dotted", ".", "name")],
     "Class": [("Mods", "class", "Name", "Heritage", "Body")],
     "Heritage": [(), ("Heritage", "any"), ("Heritage", "<", "Inside", ">"), ("Heritage", "()")],
     "Fn": [("Mods", "function", "Sig", "Returns", "Body"), ("Mods", "function", "*", "Sig", "Returns", "Body")],
     "Sig": [("Name", "Generics", "()")],
     "Generics": [(), ("<", "Inside", ">")],
-    "Inside": [(), ("Inside", "any"), ("Inside", "<", "Inside", ">"), ("Inside", "{}"), ("Inside", "()"), ("Inside", "=")],
+    "Inside": [(), ("Inside", "any"), ("Inside", "<", "Inside", ">"), ("Inside", "{}"), ("Inside", "()"), ("Inside", "="), ("Inside", ":")],
     "Returns": [(), (":", "Type")],
     "Type": [("Piece",), ("Type", "Piece")],
-    "Piece": [("any",), ("{}",), ("()",), ("<", "Inside", ">"), ("=>",)],
+    "Piece": [("any",), ("{}",), ("()",), ("<", "Inside", ">"), ("=>",), ("?", "Type", ":")],
     "Arrow": [("Mods", "Var", "Name", "Returns", "=", "Async", "Params", "Returns", "=>", "Rest"), ("Mods", "Var", "Name", "Returns", "=", "Async", "function", "MaybeName", "()", "Returns", "Body")],
     "Var": [(), ("const",), ("let",), ("var",)],
     "Async": [(), ("async",)],
@@ -159,7 +237,7 @@ _JS: Grammar = {
     "Method": [("Mods", "Sig", "Returns", "Body"), ("Mods", "*", "Sig", "Returns", "Body")],
     "Field": [("Mods", "name", "rest")],
     "Name": [("name",)],
-    "Body": [("{}",)],
+    "Body": [("{}",), ("{?",)],
 }
 _GO: Grammar = {
     "Item": [("Method",), ("Fn",)],
@@ -170,7 +248,7 @@ _GO: Grammar = {
     "Generics": [(), ("[]",)],
     "Returns": [(), ("Returns", "any"), ("Returns", "()"), ("Returns", "interface", "{}"), ("Returns", "struct", "{}")],
     "Name": [("name",)],
-    "Body": [("{}",)],
+    "Body": [("{}",), ("{?",)],
 }
 _JAVA: Grammar = {
     "Item": [("Class",), ("Method",)],
@@ -178,7 +256,7 @@ _JAVA: Grammar = {
     "Mods": [(), ("Mods", "Mod")],
     "Mod": [(k,) for k in ("public", "private", "protected", "static", "final", "abstract", "synchronized", "native", "default", "strictfp", "sealed")] + [("Note",)],
     "Note": [("@", "Dotted"), ("@", "Dotted", "()")],
-    "Dotted": [("name",), ("name", ".", "Dotted")],
+    "Dotted": [("name",), ("Dotted", ".", "name")],
     "Class": [("Mods", "ClassWord", "Name", "Heritage", "Body"), ("Mods", "record", "Name", "Generics", "()", "Heritage", "Body")],
     "ClassWord": [("class",), ("interface",), ("enum",), ("@", "interface")],
     "Heritage": [(), ("Heritage", "any"), ("Heritage", "<", "Inside", ">"), ("Heritage", "()")],
@@ -191,7 +269,7 @@ _JAVA: Grammar = {
     "Sig": [("Name", "()")],
     "Name": [("name",)],
     "End": [("Body",), (";",), ("default", "rest")],
-    "Body": [("{}",)],
+    "Body": [("{}",), ("{?",)],
 }
 _RS: Grammar = {
     "Item": [("Impl",), ("Trait",), ("Module",), ("Fn",)],
@@ -214,7 +292,7 @@ _RS: Grammar = {
     "Heritage": [(), ("Heritage", "Piece"), ("Heritage", "where")],
     "Module": [("Mods", "mod", "Name", "Body")],
     "Name": [("name",)],
-    "Body": [("{}",)],
+    "Body": [("{}",), ("{?",)],
 }
 _PY: Grammar = {
     "Item": [("Notes", "Def"), ("Notes", "Class")],
@@ -230,99 +308,200 @@ _PY: Grammar = {
     "Class": [("class", "Name", "Generics", ":"), ("class", "Name", "Generics", "()", ":")],
     "Name": [("name",)],
 }
-_GRAMMARS = {"js": _JS, "go": _GO, "java": _JAVA, "rs": _RS, "py": _PY}
+_C: Grammar = {
+    "Item": [("Class",), ("Module",), ("Fn",)],
+    "Member": [("Class",), ("Fn",)],
+    "Mods": [(), ("Mods", "Mod")],
+    "Mod": [(k,) for k in ("static", "inline", "virtual", "explicit", "friend", "constexpr", "extern")] + [("extern", "str"), ("template", "<", "Inside", ">"), ("[]",)],
+    "Module": [("Mods", "namespace", "Body"), ("Mods", "namespace", "Path", "Body"), ("extern", "str", "Body")],
+    "Class": [("Mods", "ClassWord", "Name", "Heritage", "Body"), ("Mods", "enum", "class", "Name", "Heritage", "Body"), ("typedef", "ClassWord", "Body"), ("typedef", "ClassWord", "Name", "Body")],
+    "ClassWord": [("class",), ("struct",), ("union",), ("enum",)],
+    "Heritage": [(), ("Heritage", "any"), ("Heritage", "::"), ("Heritage", "<", "Inside", ">"), ("Heritage", "final")],
+    "Fn": [("Mods", "Type", "Sig", "Quals", "End"), ("Mods", "Sig", "Quals", "Body"), ("Mods", "Sig", "Quals", "=", "default", ";"), ("Mods", "Sig", "Quals", "=", "delete", ";")],
+    "Type": [("Before", "Path"), ("Before", "ClassWord", "Path"), ("Type", "Piece")],
+    "Before": [(), ("Before", "const"), ("Before", "static"), ("Before", "inline")],
+    "Piece": [("Path",), ("const",), ("*",), ("&",), ("&&",), ("<", "Inside", ">")],
+    "Path": [("name",), ("Path", "::", "name"), ("Path", "<", "Inside", ">", "::", "name")],
+    "Inside": [(), ("Inside", "any"), ("Inside", "::"), ("Inside", "const"), ("Inside", "class"), ("Inside", "<", "Inside", ">"), ("Inside", "()"), ("Inside", "[]"), ("Inside", "=")],
+    "Sig": [("Name", "()"), ("Owner", "::", "Name", "()")],
+    "Owner": [("Path",), ("Path", "<", "Inside", ">")],
+    "Name": [("name",), ("~", "name"), ("operator", "Sign")],
+    "Sign": [("any",), ("Sign", "any"), ("[]",), ("()",), ("=",), ("<",), (">",)],
+    "Quals": [(), ("Quals", "Qual")],
+    "Qual": [("const",), ("noexcept",), ("noexcept", "()"), ("override",), ("final",), ("&",), ("&&",), ("->", "Type"), (":", "Inits"), ("name",), ("name", "()")],
+    "Inits": [("Init",), ("Inits", ",", "Init")],
+    "Init": [("Path", "()"), ("Path", "{}"), ("Path", "<", "Inside", ">", "()")],
+    "End": [("Body",), (";",), ("=", "any", ";"), ("=", "default", ";"), ("=", "delete", ";")],
+    "Body": [("{}",), ("{?",)],
+}
+_CS: Grammar = {
+    "Item": [("Class",), ("Module",), ("Method",)],
+    "Member": [("Class",), ("Method",)],
+    "Mods": [(), ("Mods", "Mod")],
+    "Mod": [(k,) for k in ("public", "private", "protected", "internal", "static", "virtual", "override", "async", "sealed", "abstract", "partial", "readonly", "extern", "unsafe", "new")] + [("Note",)],
+    "Note": [("[]",)],
+    "Module": [("namespace", "Dotted", "Body")],
+    "Class": [("Mods", "ClassWord", "Name", "Heritage", "Body")],
+    "ClassWord": [("class",), ("interface",), ("struct",), ("enum",), ("record",), ("record", "class"), ("record", "struct")],
+    "Heritage": [(), ("Heritage", "any"), ("Heritage", "<", "Inside", ">"), ("Heritage", "()"), ("Heritage", "where"), ("Heritage", "class"), ("Heritage", "new", "()")],
+    "Method": [("Mods", "Type", "Sig", "Where", "End"), ("Mods", "Sig", "Chain", "End")],
+    "Chain": [(), (":", "base", "()"), (":", "this", "()")],
+    "Type": [("Dotted", "Generics", "Dims"), ("()", "Dims")],
+    "Dotted": [("name",), ("Dotted", ".", "name")],
+    "Dims": [(), ("Dims", "[]"), ("Dims", "?"), ("Dims", "*")],
+    "Generics": [(), ("<", "Inside", ">")],
+    "Inside": [(), ("Inside", "any"), ("Inside", "<", "Inside", ">"), ("Inside", "()"), ("Inside", "[]")],
+    "Sig": [("Name", "Generics", "()")],
+    "Where": [(), ("where", "Heritage")],
+    "Name": [("name",), ("~", "name")],
+    "End": [("Body",), (";",), ("=>", "rest")],
+    "Body": [("{}",), ("{?",)],
+}
+_PHP: Grammar = {
+    "Item": [("Class",), ("Module",), ("Fn",)],
+    "Member": [("Fn",)],
+    "Mods": [(), ("Mods", "Mod")],
+    "Mod": [(k,) for k in ("public", "private", "protected", "static", "final", "abstract", "readonly")] + [("Note",)],
+    "Note": [("#", "[]")],
+    "Module": [("namespace", "name", "Body")],
+    "Class": [("Mods", "ClassWord", "Name", "Heritage", "Body")],
+    "ClassWord": [("class",), ("interface",), ("trait",), ("enum",)],
+    "Heritage": [(), ("Heritage", "any"), ("Heritage", "extends"), ("Heritage", "implements")],
+    "Fn": [("Mods", "function", "Sig", "Returns", "End"), ("Mods", "function", "&", "Sig", "Returns", "End")],
+    "Sig": [("Name", "()")],
+    "Returns": [(), (":", "Type")],
+    "Type": [("Piece",), ("Type", "Piece")],
+    "Piece": [("any",), ("static",), ("()",)],
+    "Name": [("name",)],
+    "End": [("Body",), (";",)],
+    "Body": [("{}",), ("{?",)],
+}
+_R: Grammar = {
+    "Item": [("Fn",)],
+    "Fn": [("Name", "Assign", "function", "()", "Rest")],
+    "Assign": [("<-",), ("<<-",), ("=",)],
+    "Rest": [("Body",), ("rest",)],
+    "Name": [("name",), ("str",)],
+    "Body": [("{}",), ("{?",)],
+}
+_GRAMMARS = {"js": _JS, "go": _GO, "java": _JAVA, "rs": _RS, "py": _PY, "c": _C, "cs": _CS, "php": _PHP, "r": _R}
 #: Words that are names as well, where a name is due.
-_SOFT = {"js": {"get", "set", "of", "from", "async", "static", "default", "delete", "declare", "with", "in", "import", "return", "catch", "override", "readonly", "abstract"}, "java": {"record", "sealed", "permits"}, "rs": {"default", "union"}, "go": set(), "py": set()}
+_SOFT = {"js": {"get", "set", "of", "from", "async", "static", "default", "delete", "declare", "with", "in", "import", "return", "catch", "override", "readonly", "abstract"}, "java": {"record", "sealed", "permits"}, "rs": {"default", "union"}, "go": set(), "py": set(),
+         "c": {"override", "final"}, "cs": {"partial", "record", "where", "async"}, "php": {"new", "use", "echo", "throw", "readonly", "enum"}, "r": set()}
 _NOT_ANY = {
-    "js": {"{", "}", "(", ")", ";", "=", "=>", "<", ">", "class", "function", "const", "let", "var", "export", "return"}, "go": {"{", "}", "(", ")", ";", "=", ":=", "interface", "struct", "func", "return"},
+    "js": {"{", "}", "(", ")", ";", "=", "=>", "<", ">", ":", "class", "function", "const", "let", "var", "export", "return"}, "go": {"{", "}", "(", ")", ";", "=", ":=", "interface", "struct", "func", "return"},
     "java": {"{", "}", "(", ")", ";", "=", "<", ">", "class", "interface", "enum", "return", "new"}, "rs": {"{", "}", "(", ")", "[", "]", ";", "=", "<", ">", "->", "where", "for", "fn", "impl", "trait", "mod", "pub", "let", "return"}, "py": {":", "nl", "(", ")", "[", "]", "str", "def", "class"},
+    "c": {"{", "}", "(", ")", "[", "]", ";", "=", "<", ">", "::", "class", "struct", "union", "enum", "namespace", "return", "const", "operator", "typedef", "using", "template", "final", "if", "for", "while"}, "cs": {"{", "}", "(", ")", ";", "=", "=>", "<", ">", "class", "interface", "struct", "namespace", "return", "where", "new", "using"},
+    "php": {"{", "}", "(", ")", ";", "=", "=>", "class", "function", "return", "static", "extends", "implements"}, "r": {"{", "}", "(", ")"},
 }
-#: Steps that the parse of one declaration may take; a line that needs more is stepped over like one that is broken.
-STEPS = 20_000
-#: Classes inside classes that are followed; what stands deeper is read as if it stood there.
-DEEPEST = 30
+
+
+def _fits(lang: str):
+    soft, not_any = _SOFT[lang], _NOT_ANY[lang]
+
+    def fits(symbol: str, kind: str) -> bool:
+        if symbol == "name":
+            return kind == "id" or kind in soft
+        if symbol == "any":
+            return kind not in not_any and kind != ""
+        if symbol in ("()", "{}", "[]", "{?"):
+            return kind == symbol[0]
+        return symbol in ("rest", "line") or kind == symbol
+
+    return fits
 
 
 @lru_cache(maxsize=None)
 def _parser(lang: str) -> Parser:
-    return Parser(_GRAMMARS[lang])
+    return Parser(_GRAMMARS[lang], _fits(lang))
 
 
-class Source:
-    """One file, as it is read for functions."""
+class Stretch:
+    """The tokens of a file or of the body of a class, as the grammar reads them."""
 
-    def __init__(self, text: str, lang: str):
-        self.lang, self.parser = lang, _parser(lang)
-        self.t = lex(text, lang)
+    def __init__(self, outline: Outline, lang: str, lo: int, hi: int):
+        self.outline, self.lang, self.parser = outline, lang, _parser(lang)
+        self.t = outline.tokens(lang, lo, hi)
+        self.size = len(self.t.kinds) - 1
         self.soft, self.not_any = _SOFT[lang], _NOT_ANY[lang]
-        self.starts = [j for j in range(len(self.t.kinds)) if not j or self.t.lines[j] != self.t.lines[j - 1]]
         self.mended: dict[int, int] = {}
-        self.begin = {w: self.parser.starts((w,)) for w in ("Item", "Member") if w in self.parser.grammar}
+        self.state = State()
+
+    @cached_property
+    def starts(self) -> list[int]:
+        return [j for j in range(self.size) if not j or self.t.lines[j] != self.t.lines[j - 1]]
+
+    def parse(self, what: str, i: int) -> Ends:
+        return self.parser.parse(what, i, self.t.kinds, self.step, self.state)
 
     def step(self, symbol: str, i: int) -> int:
         t = self.t
-        if i >= len(t.kinds):
-            return -1
         kind = t.kinds[i]
         if symbol == "name":
             return i + 1 if kind == "id" or kind in self.soft else -1
         if symbol == "any":
-            return i + 1 if kind not in self.not_any else -1
-        if len(symbol) == 2 and symbol in ("()", "{}", "[]"):
-            if kind != symbol[0]:
-                return -1
-            end = t.match[i] if t.match[i] > i else self.mended.get(i) or self.mended.setdefault(i, self._mend(i))
-            return end + 1 if end > i else -1
+            return i + 1 if kind and kind not in self.not_any else -1
+        if symbol in ("()", "{}", "[]"):
+            return t.match.get(i, -2) + 1 if kind == symbol[0] else -1
+        if symbol == "{?":
+            return self._unclosed(i) + 1 if kind == "{" and i not in t.match else -1
         if symbol == "rest":
             return self._rest(i)
         if symbol == "line":
-            while i < len(t.kinds) and t.kinds[i] != "nl":
+            while i < self.size and t.kinds[i] != "nl":
                 i += 1
-            return i + 1
-        return i + 1 if kind == symbol else -1
-
-    def _mend(self, i: int) -> int:
-        """Where a bracket that is never closed ends: before the next line that begins no deeper than its own."""
-        t = self.t
-        if t.texts[i] != "{":
-            return -1
-        k = bisect_right(self.starts, i) - 1
-        own = t.columns[self.starts[k]]
-        for j in self.starts[k + 1:]:
-            if t.columns[j] <= own:
-                return j - 1 if t.kinds[j] != "}" else j
-        return len(t.kinds) - 1
+            return i + 1 if i < self.size else -1
+        return i + 1 if kind == symbol and i < self.size else -1
+
+    def _unclosed(self, i: int) -> int:
+        """Where a brace that is never closed ends: before the next line that begins no deeper than its own."""
+        if i not in self.mended:
+            t = self.t
+            k = bisect_right(self.starts, i) - 1
+            own, end = t.columns[self.starts[k]], self.size - 1
+            for j in self.starts[k + 1:]:
+                if t.columns[j] <= own:
+                    end = j - 1 if t.kinds[j] != "}" else j
+                    break
+            self.mended[i] = end
+        return self.mended[i]
 
     def _rest(self, i: int) -> int:
         """Past an expression: to the end of its line or its semicolon, over brackets."""
-        t, line = self.t, self.t.lines[i]
-        while i < len(t.kinds):
+        t = self.t
+        line = t.lines[min(i, self.size - 1)]
+        while i < self.size:
             if t.kinds[i] == ";":
                 return i + 1
             if t.kinds[i] in (")", "}", "]") or t.lines[i] > line:
                 return i
-            if t.match[i] > i:
+            if i in t.match:
                 i = t.match[i]
                 line = t.lines[i]
             i += 1
         return i
 
-    def functions(self) -> Iterator[Function]:
-        yield from self._python() if self.lang == "py" else self._walk(0, len(self.t.kinds), "Item", "")
+    @staticmethod
+    def last(done: Ends, what: str, lo: int, hi: int) -> int:
+        found = done.get(what, {})
+        return next((i for i in range(hi, lo - 1, -1) if i in found and min(found[i]) <= hi), -1)
 
-    def _last(self, done: dict, what: str, lo: int, hi: int) -> int:
-        return max((i for (nt, i), ends in done.items() if nt == what and i >= lo and any(e <= hi for e in ends)), default=-1)
+    @staticmethod
+    def first_name(done: Ends, lo: int, hi: int) -> int:
+        found = done.get("Name", {})
+        return next((i for i in range(lo, hi) if i in found), -1)
 
-    def _notes(self, done: dict, lo: int, core: int) -> set[int]:
+    def _notes(self, done: Ends, lo: int, core: int) -> set[int]:
         """The lines that annotations before a declaration take."""
         lines: set[int] = set()
-        for (nt, i), ends in done.items():
-            if nt == "Note" and lo <= i < core:
-                end = max((e for e in ends if e <= core), default=i + 1)
-                lines |= set(range(self.t.lines[i], self.t.lines[end - 1] + 1))
+        found = done.get("Note", {})
+        for i in range(lo, core):
+            if i in found:
+                end = max((e for e in found[i] if e <= core), default=i + 1)
+                lines.update(range(self.t.lines[i], self.t.lines[end - 1] + 1))
         return lines
 
-    def _doc(self, done: dict, lo: int, name: int) -> str:
+    def doc(self, done: Ends, lo: int, name: int) -> str:
         """The comment that ends right above, annotations aside."""
         t = self.t
         core = name
@@ -333,81 +512,65 @@ class Source:
             return ""
         line = t.lines[core] - 1
         while line > 0:
-            if line in t.comments:
-                return t.comments[line][1]
+            if line in self.outline.comments:
+                return self.outline.comments[line][1]
             if line not in notes:
                 return ""
             line -= 1
         return ""
 
-    def _walk(self, lo: int, hi: int, what: str, owner: str, depth: int = 0) -> Iterator[Function]:
-        t, begin, i = self.t, self.begin.get(what, set()), lo
-        names = "name" in begin
-        while i < hi:
-            kind = t.kinds[i]
-            if not (kind in begin or names and (kind == "id" or kind in self.soft)) or (i > lo and t.kinds[i - 1] in (".", "new", "return")):
-                i += 1
-                continue
-            done = self.parser.parse(what, i, self.step, STEPS)
-            if done is None:
-                line = t.lines[i]
-                while i < hi and t.lines[i] == line:
-                    i += 1
-                continue
-            ends = [e for e in done.get((what, i), ()) if e <= hi]
-            if not ends:
-                i = self._skip(i, hi, what)
-                continue
-            end = max(ends)
-
-            def is_(done: dict, what: str, i: int = i, end: int = end) -> bool:
-                return end in done.get((what, i), ())
-
-            body = self._last(done, "Body", i, end)
-            if any(is_(done, c) for c in ("Class", "Impl", "Trait", "Module")):
-                inner = self._owner(done, i, body)
-                name = inner if not owner else f"{owner}.{inner}"
-                if depth >= DEEPEST:
-                    i = body + 1
-                    continue
-                if is_(done, "Module"):
-                    yield from self._walk(body + 1, end - 1, "Item", owner, depth + 1)
-                else:
-                    yield from self._walk(body + 1, end - 1, "Member", name, depth + 1)
-            elif is_(done, "Field") and not is_(done, "Method") and not is_(done, "Arrow"):
-                pass
-            else:
-                name = self._last(done, "Sig", i, end)
-                if self.lang == "js" and is_(done, "Arrow"):
-                    name = min((k for (nt, k) in done if nt == "Name" and k >= i), default=-1)
-                if name >= 0:
-                    of = owner
-                    if self.lang == "go" and is_(done, "Method"):
-                        of = self._receiver(i + 1)
-                    yield Function(t.texts[name], of, t.lines[name], self._doc(done, i, name))
-            i = max(end, i + 1)
-
-    def _skip(self, i: int, hi: int, what: str) -> int:
+    def function(self, done: Ends, is_: set[str], i: int, end: int, owner: str) -> Iterator[Function]:
+        t = self.t
+        if self.lang == "r" or self.lang == "js" and "Arrow" in is_:
+            name = self.first_name(done, i, end)
+        else:
+            name = self.last(done, "Sig", i, end)
+        if name < 0:
+            return
+        text, at = t.texts[name], name
+        if self.lang == "go" and "Method" in is_:
+            owner = self._receiver(i + 1)
+        elif self.lang == "c":
+            at = next((k for k in range(end - 1, name - 1, -1) if any(t.kinds[e] == "(" for e in done["Name"].get(k, ()))), name)
+            last = max((e for e in done["Name"].get(at, ()) if t.kinds[e] == "("), default=at + 1)
+            text = "".join(t.texts[at:last])
+            if at > name:
+                words = [t.texts[j] for j in range(name, at) if t.kinds[j] == "id" and t.kinds[j + 1] in ("::", "<")]
+                depth, words = 0, []
+                for j in range(name, at):
+                    depth += (t.kinds[j] == "<") - (t.kinds[j] == ">")
+                    if not depth and t.kinds[j] == "id":
+                        words.append(t.texts[j])
+                owner = ".".join(([owner] if owner else []) + words)
+        elif self.lang == "cs":
+            text = "".join(t.texts[name:name + 2]) if t.kinds[name] == "~" else text
+        elif self.lang == "r":
+            text = text.strip("`\"'")
+        yield Function(text, owner, t.lines[at], self.doc(done, i, at))
+
+    def skip(self, i: int, begin: set[str], what: str) -> int:
         """Inside a class, what does not parse is skipped with its brackets; elsewhere up to where a statement or a
         declaration may begin."""
         t = self.t
+        if i >= self.size:
+            return i
         line = t.lines[i]
         if what == "Member":
-            while i < hi and t.lines[i] == line and t.kinds[i] != ";":
-                if t.match[i] > i:
+            while i < self.size and t.lines[i] == line and t.kinds[i] != ";":
+                if i in t.match:
                     i = t.match[i]
                     line = t.lines[i]
                 i += 1
-            return i + (i < hi and t.kinds[i] == ";")
-        begin, i = self.begin[what], i + 1
-        while i < hi and t.lines[i] == line and t.kinds[i - 1] not in (";", "{", "}") and t.kinds[i] not in begin:
+            return i + (i < self.size and t.kinds[i] == ";")
+        i += 1
+        while i < self.size and t.lines[i] == line and t.kinds[i - 1] not in (";", "{", "}") and t.kinds[i] not in begin:
             i += 1
         return i
 
-    def _owner(self, done: dict, i: int, body: int) -> str:
+    def owner(self, done: Ends, i: int, body: int, end: int) -> str:
         t = self.t
-        if self.lang == "rs" and ("Impl", i) in done:
-            at = self._last(done, "Owner", i, body)
+        if self.lang == "rs" and end in done.get("Impl", {}).get(i, ()):
+            at = self.last(done, "Owner", i, body)
             words = []
             for j in range(max(at, i), body):
                 if t.kinds[j] == "<" or t.kinds[j] == "where":
@@ -415,57 +578,115 @@ class Source:
                 if t.kinds[j] == "id":
                     words.append(t.texts[j])
             return words[-1] if words else ""
-        names = sorted(k for (nt, k) in done if nt == "Name" and i <= k < body)
-        return t.texts[names[0]] if names else ""
+        name = self.first_name(done, i, body)
+        if name < 0 and self.lang == "c" and end < self.size and t.kinds[end] == "id":
+            name = end
+        return t.texts[name] if name >= 0 else ""
 
     def _receiver(self, i: int) -> str:
-        t = self.t
-        end, words = t.match[i], []
-        for j in range(i + 1, end):
-            if t.kinds[j] == "[":
+        t, words = self.t, []
+        inner = self.outline.tokens(self.lang, t.offsets[i] + 1, t.offsets[t.match[i]])
+        for kind, text in zip(inner.kinds, inner.texts):
+            if kind == "[":
                 break
-            if t.kinds[j] == "id":
-                words.append(t.texts[j])
+            if kind == "id":
+                words.append(text)
         return words[-1] if words else ""
 
-    def _python(self) -> Iterator[Function]:
-        t, i, scopes = self.t, 0, []
-        begin = self.begin["Item"]
-        fresh = True
-        while i < len(t.kinds):
-            kind = t.kinds[i]
-            if kind == "nl" or kind == ";":
-                fresh, i = True, i + 1
+
+def _walk(outline: Outline, lang: str) -> Iterator[Function]:
+    """The functions of a file, inside classes as deep as these go: the bodies that are still to be read lie on a stack."""
+    todo = [(0, len(outline.text), "Item", "")]
+    parser = _parser(lang)
+    begins = {w: parser.starts((w,)) for w in ("Item", "Member") if w in _GRAMMARS[lang]}
+    while todo:
+        lo, hi, what, owner = todo.pop()
+        if what not in begins:
+            continue
+        st = Stretch(outline, lang, lo, hi)
+        t, begin, i = st.t, begins[what], 0
+        while i < st.size:
+            if not parser.open(what, t.kinds[i]) or (i and t.kinds[i - 1] in (".", "new", "return")):
+                i += 1
                 continue
-            if fresh:
-                while scopes and t.columns[i] <= scopes[-1][0]:
-                    scopes.pop()
-            if fresh and kind in begin:
-                done = self.parser.parse("Item", i, self.step, STEPS) or {}
-                end = max(done.get(("Item", i), ()), default=-1)
-                if end > 0:
-                    names = [k for (nt, k) in done if nt == "Name" and k >= i]
-                    core = max(k for (nt, k), e in done.items() if nt in ("Def", "Class") and end in e)
-                    name, column = max(names), t.columns[core]
-                    is_class = t.kinds[core] == "class"
-                    if not is_class and not any(s[1] == "def" for s in scopes):
-                        owner = ".".join(s[2] for s in scopes)
-                        yield Function(t.texts[name], owner, t.lines[name], self._docstring(end) or self._doc(done, i, core))
-                    scopes.append((column, "class" if is_class else "def", t.texts[name]))
-                    i, fresh = end, t.kinds[end] == "nl"
-                    continue
-            fresh, i = False, i + 1
-
-    def _docstring(self, i: int) -> str:
-        """The string that opens a body, marked so that an empty one is not taken for none."""
-        t = self.t
-        while i < len(t.kinds) and t.kinds[i] == "nl":
-            i += 1
-        if i + 1 < len(t.kinds) and t.kinds[i] == "str" and t.kinds[i + 1] in ("nl", ";") and not re.match(r"[rRuU]*[bBfF]", t.texts[i]):
-            s = re.sub(r"^[rRuU]*", "", t.texts[i])
-            q = s[:3] if s[:3] in ('"""', "'''") else s[:1]
-            return '"""' + (s[len(q):-len(q)] if len(s) >= 2 * len(q) and s.endswith(q) else s[len(q):])
+            done = st.parse(what, i)
+            end = max(done.get(what, {}).get(i, ()), default=-1)
+            if end < 0:
+                # What only precedes a declaration is stepped over at once, and so is what C takes for its type: a declaration
+                # that began inside would have been found from here.
+                before = max(done.get("Mods", {}).get(i, ()), default=i)
+                i = st.skip(max(done["Type"].get(before, ()), default=before) if lang == "c" and "Type" in done else before, begin, what)
+                continue
+            is_ = {c for c in ("Class", "Impl", "Trait", "Module", "Field", "Method", "Arrow", "Fn") if end in done.get(c, {}).get(i, ())}
+            if is_ & {"Class", "Impl", "Trait", "Module"}:
+                body = st.last(done, "Body", i, end)
+                inner = st.owner(done, i, body, end)
+                stop = t.offsets[end - 1] if body in t.match else t.offsets[end] if end < st.size else hi
+                todo.append((t.offsets[body] + 1, stop, "Item", owner) if "Module" in is_ else (t.offsets[body] + 1, stop, "Member", f"{owner}.{inner}" if owner else inner))
+            elif "Field" not in is_ or is_ & {"Method", "Arrow"}:
+                yield from st.function(done, is_, i, end, owner)
+            i = max(end, i + 1)
+
+
+def _python(outline: Outline) -> Iterator[Function]:
+    """The functions of a Python file: only lines that begin a declaration are read in full."""
+    lines, text, k = outline.logical, outline.text, 0
+    scopes: list[tuple[int, str, str]] = []
+    in_def = 0
+    while k < len(lines):
+        at, column = lines[k]
+        while scopes and column <= scopes[-1][0]:
+            in_def -= scopes.pop()[1] == "def"
+        if not _PY_HEAD.match(text, at):
+            k += 1
+            continue
+        j = k
+        while text[lines[j][0]] == "@" and j + 1 < len(lines):
+            j += 1
+        hi = lines[j + 1][0] if j + 1 < len(lines) else len(text)
+        st = Stretch(outline, "py", at, hi)
+        t, done = st.t, st.parse("Item", 0)
+        end = max(done.get("Item", {}).get(0, ()), default=-1)
+        if end < 0:
+            k = max(j, k + 1)
+            continue
+        core = max(i for nt in ("Def", "Class") for i, e in done.get(nt, {}).items() if end in e)
+        name, is_class = max(done["Name"]), t.kinds[core] == "class"
+        if not is_class and not in_def:
+            yield Function(t.texts[name], ".".join(s[2] for s in scopes), t.lines[name], _docstring(outline, t.offsets[end - 1] + 1) or st.doc(done, 0, core))
+        scopes.append((t.columns[core], "class" if is_class else "def", t.texts[name]))
+        in_def += not is_class
+        k = j + 1
+
+
+def _docstring(outline: Outline, at: int) -> str:
+    """The string that opens a body, marked so that an empty one is not taken for none."""
+    find, text, first = _LEX["py"].match, outline.text, None
+    while at < len(text):
+        m = find(text, at)
+        kind, at = m.lastgroup, m.end()
+        if kind is None:
+            break
+        if first is not None:
+            if kind == "cm":
+                continue
+            if kind != "nl" and m.group(kind) != ";":
+                return ""
+            break
+        if kind == "str":
+            first = m.group(kind)
+        elif kind not in ("nl", "cm"):
+            return ""
+    if first is None or re.match(r"[rRuU]*[bBfF]", first):
         return ""
+    s = re.sub(r"^[rRuU]*", "", first)
+    q = s[:3] if s[:3] in ('"""', "'''") else s[:1]
+    return '"""' + (s[len(q):-len(q)] if len(s) >= 2 * len(q) and s.endswith(q) else s[len(q):])
+
+
+def functions(text: str, lang: str) -> Iterator[Function]:
+    outline = Outline(text, lang)
+    return _python(outline) if lang == "py" else _walk(outline, lang)
 
 
 _TAG = re.compile(r"^\s*(?:[@\\](?:param|params|arg|args|argument|return|returns|retval|throws?|exception|raises?|yields?|type|typedef|template|see|since|deprecated|author|version|example|property|prop|this|override|inheritdoc|public|private|protected|internal|todo)\b|:(?:param|parameter|arg|argument|key|keyword|return|returns|rtype|raises?|type|yields?)\b[^:]*:|(?:args?|arguments?|parameters?|params?|returns?|raises?|throws?|yields?|examples?|errors?|panics?|safety)\s*:\s*$|#+\s*(?:arguments?|parameters?|returns?|errors?|examples?|panics?|safety)\s*$|(?:parameters?|returns?|raises|yields)\s*$)", re.I)
@@ -476,6 +697,7 @@ _LICENCE = re.compile(r"\(c\)\s|©|\bcopyright\b|\blicen[cs]ed? (?:under|by|to)\
 _CODE = re.compile(
     r"[;{}]\s*$|^\s*[}{)\]]|^\s*(?:if|elif|for|while|switch|match|with)\b.*[:{]\s*$|^\s*(?:return|const|let|var|func|fn|class|raise|throw|await|package|public|private)\b[^.]*[;={]"
     r"|^\s*(?:from\s+\S+\s+)?import\s+[\w.{}*, ]+;?\s*$|^\s*(?:async\s+)?def\s+\w+\s*\(|^\s*[\w.$\[\]]+\s*(?:[-+*/|&]?=|:=)\s*\S|^\s*[\w.$]+\([^()]*\)\s*;?\s*$|=>|&&|\|\|")
+_XML, _XML_TAG = re.compile(r"</?[A-Za-z][^<>]*>"), re.compile(r"^\s*<(?:param|typeparam|returns?|exception|value|example|seealso)\b", re.I)
 _RULER = re.compile(r"^[\W_]*$")
 
 
@@ -488,7 +710,9 @@ def description(doc: str, name: str = "") -> str:
         body = re.sub(r"\*+/\s*$", "", doc[2:])
         lines = [re.sub(r"^\s*[*!]+", "", s) for s in body.splitlines()]
     else:
-        lines = [re.sub(r"^\s*(?://+[!/]?|#+!?)", "", s) for s in doc.splitlines()]
+        lines = [re.sub(r"^\s*(?://+[!/]?|#+['!]?)", "", s) for s in doc.splitlines()]
+    if doc.startswith("///"):
+        lines = [s if _XML_TAG.match(s) else _XML.sub(" ", s) for s in lines]
     if _LICENCE.search("\n".join(lines)):
         return ""
     out, todo = [], False
@@ -496,7 +720,7 @@ def description(doc: str, name: str = "") -> str:
         if _RULER.match(s):
             todo = todo and bool(s.strip())
             continue
-        if _TAG.match(s):
+        if _TAG.match(s) or _XML_TAG.match(s):
             break
         if _TODO.match(s):
             todo = True
@@ -522,7 +746,7 @@ def extract(path: str, text: str) -> Iterator[tuple[str, str, str, int, str]]:
     lang = LANGUAGES.get(path.rsplit(".", 1)[-1].lower()) if "." in path else None
     if not lang or not text:
         return
-    for f in Source(text.replace("\r\n", "\n"), lang).functions():
+    for f in functions(text.replace("\r\n", "\n"), lang):
         own = f"{f.owner}.{f.name}" if f.owner else f.name
         yield f"{path}::{own}", f.name, lang, f.line, description(f.doc, f.name)
 
@@ -551,8 +775,7 @@ def function_docs(sources: DataFrame, path: str = "path", text: str = "text", le
     found = found.groupBy("id").agg(F.min(F.struct("line", "name", "description")).alias("f")).select("id", "f.name", "f.line", "f.description")
     plain = F.lower(F.trim(F.regexp_replace("description", r"[^\p{L}]+", " ")))
     found = found.withColumn("h", F.xxhash64(plain))
-    each = found.groupBy("h", "name").agg(F.count("*").alias("n"), F.min(F.substring_index("id", "/", 1)).alias("a"), F.max(F.substring_index("id", "/", 1)).alias("z"))
-    stats = each.groupBy("h").agg(F.count("*").alias("names"), (F.approx_count_distinct("a")).alias("projects"))
-    total = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    stats = found.groupBy("h").agg(F.count_distinct("name").alias("names"), F.count_distinct(F.substring_index("id", "/", 1)).alias("projects"))
+    total = found.agg(F.count("*").alias("n")).scalar()
     templates = stats.where((F.col("names") >= TEMPLATE_NAMES) & (F.col("projects") >= TEMPLATE_PROJECTS)).withColumn("all", total).where(F.col("names") >= TEMPLATE_SHARE * F.col("all")).select("h")
     return found.join(templates, "h", "left_anti").select("id", "name", "line", "description")
