@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weft.llm.gll import Ends, Grammar, Parser, State
+from weft.session import cut
 
 #: A description on at least so many differently named functions of at least so many projects is a template.
 TEMPLATE_NAMES, TEMPLATE_PROJECTS, TEMPLATE_SHARE = 25, 5, 0.002
@@ -761,7 +762,7 @@ def function_docs(sources: DataFrame, path: str = "path", text: str = "text", le
 
     Null paths and null or empty texts give nothing. Repeated rows are one; of several declarations with one id the
     first that is documented is taken. Files that are broken give the functions that can be read. Files of any
-    length are read whole. Extra columns are ignored."""
+    length are read whole, once: what is found goes to the shared folder. Extra columns are ignored."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -774,7 +775,7 @@ def function_docs(sources: DataFrame, path: str = "path", text: str = "text", le
     found = given.mapInArrow(read, "id string, name string, line int, description string")
     found = found.groupBy("id").agg(F.min(F.struct("line", "name", "description")).alias("f")).select("id", "f.name", "f.line", "f.description")
     plain = F.lower(F.trim(F.regexp_replace("description", r"[^\p{L}]+", " ")))
-    found = found.withColumn("h", F.xxhash64(plain))
+    found = cut(found.withColumn("h", F.xxhash64(plain)))
     stats = found.groupBy("h").agg(F.count_distinct("name").alias("names"), F.count_distinct(F.substring_index("id", "/", 1)).alias("projects"))
     total = found.agg(F.count("*").alias("n")).scalar()
     templates = stats.where((F.col("names") >= TEMPLATE_NAMES) & (F.col("projects") >= TEMPLATE_PROJECTS)).withColumn("all", total).where(F.col("names") >= TEMPLATE_SHARE * F.col("all")).select("h")
