@@ -389,12 +389,33 @@ def test_pieces(spark):
     assert chunking.split_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_very_long_text(spark):
+    """Eight times the text takes about eight times as long; the pieces give it back."""
+    import time
+
+    path = tokens.default_path()
+    prose = "The quick brown fox jumps over it; é. " * 40 + "\n\n" + "- a line of its own\n" * 60 + "\n\n"
+    took = []
+    for n in (500, 4000):
+        df = spark.createDataFrame([(1, prose * n)], "doc_id long, text string")
+        began = time.time()
+        pieces = chunking.split_texts(df, "doc_id", "text").collect()
+        took.append(time.time() - began)
+        at, text = 0, prose * n
+        for r in sorted(pieces, key=lambda r: r.piece):
+            assert text[r.start_char:r.end_char] == r.text and r.start_char <= at < r.end_char
+            at = r.end_char
+        assert at == len(text) and all(len(tokens.encode(r.text, path)) <= 512 for r in pieces[::50])
+    assert took[1] < 20 * took[0] + 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab .\n\r\u00e9漢\U0001f600'", min_size=1, max_size=200))
 def test_boundaries(text):
     """Natural cuts leave the tokens of both sides as they were."""
     path = tokens.default_path()
-    letters, ends = chunking.boundaries(text, path)
+    letters, ends, byte_ends = chunking.boundaries(text, path)
+    assert [len(text[:e].encode()) for e in ends] == byte_ends.tolist()
     whole = tokens.encode(text, path)
     assert len(letters) == len(whole) == len(ends) and ends[-1] == len(text)
     for k, (c, e) in enumerate(zip(letters[:-1], ends[:-1]), 1):

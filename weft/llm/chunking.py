@@ -19,16 +19,16 @@ from weft.llm import tokens
 _KINDS = np.array([chr(c).isspace() | (chr(c) in ".!?…。") << 1 | (chr(c) in "\"')]}»”’`*") << 2 for c in range(0x3003)] + [0], np.uint8)
 
 
-def boundaries(text: str, path: str, above: int = 0) -> tuple[str, np.ndarray]:
-    """One letter a token, and the offset in characters behind each token; nothing for a text of at most ``above``
-    tokens.
+def boundaries(text: str, path: str, above: int = 0) -> tuple[str, np.ndarray, np.ndarray]:
+    """One letter a token, and the offsets in characters and in bytes behind each token; nothing for a text of at most
+    ``above`` tokens.
 
     A cut before white space, behind something else, leaves the tokens of both sides as they were, because the
     tokenizer's pattern looks ahead only from inside white space and never back."""
     _, lengths = tokens.encoding(path)
     ids = np.asarray(tokens.encode(text, path), np.int64)
     if len(ids) <= above:
-        return "", np.empty(0, np.int32)
+        return "", np.empty(0, np.int32), np.empty(0, np.int32)
     chars = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     width = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
     char_ends = np.cumsum(width)
@@ -51,7 +51,7 @@ def boundaries(text: str, path: str, above: int = 0) -> tuple[str, np.ndarray]:
     letter[natural] = np.where(breaks >= 2, ord("P"), np.where(breaks == 1, ord("L"), np.where(stop, ord("S"), ord("W"))))[natural]
     letter[-1] = ord("P")
     ends[-1] = len(chars)
-    return letter.tobytes().decode("ascii"), ends.astype(np.int32)
+    return letter.tobytes().decode("ascii"), ends.astype(np.int32), char_ends[ends - 1].astype(np.int32)
 
 
 def pattern(limit: int, overlap: int) -> str:
@@ -72,7 +72,7 @@ def split_texts(docs: DataFrame, key: str, text: str, limit: int = 512, overlap:
     count of the piece alone may differ by a few, for which the pattern leaves room.
 
     Null and empty texts and texts of at most ``limit`` tokens have no pieces. Repeated rows come out as often as
-    they occur. Very long texts are cut by the same rule. Extra columns are ignored."""
+    they occur. Very long texts are cut by the same rule, in time that grows with their length. Extra columns are ignored."""
     if not 0 <= overlap <= limit // 2:
         raise ValueError("overlap must be between 0 and half the limit")
     path = path or tokens.default_path()
@@ -81,31 +81,57 @@ def split_texts(docs: DataFrame, key: str, text: str, limit: int = 512, overlap:
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for lo in range(0, len(texts), 64):
-                rows, letters, ends = [], [], []
+                rows, found = [], []
                 for i in range(lo, min(lo + 64, len(texts))):
-                    s, e = boundaries(texts[i], path, limit)
-                    if s:
-                        rows.append(i), letters.append(s), ends.append(e)
+                    one = boundaries(texts[i], path, limit)
+                    if one[0]:
+                        rows.append(i), found.append(one)
                 if rows:
-                    flat = pa.array(np.concatenate(ends), pa.int32())
-                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in ends])]), pa.int32())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array([texts[i] for i in rows], pa.string()), pa.array(letters, pa.string()), pa.ListArray.from_arrays(offsets, flat)], ["key", "text", "letters", "ends"])
+                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[1]) for x in found])]), pa.int32())
+                    ends, byte_ends = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in found]), pa.int32())) for k in (1, 2))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array([texts[i].encode("utf-8", "replace") for i in rows], pa.binary()), pa.array([x[0] for x in found], pa.string()), ends, byte_ends], ["key", "body", "letters", "ends", "byte_ends"])
 
     kind = docs.schema[key].dataType.simpleString()
     long = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") > limit)
-    marked = long.mapInArrow(classify, f"key {kind}, text string, letters string, ends array<int>")
-    sizes = F.transform(F.regexp_extract_all("letters", F.lit(pattern(limit, overlap)), F.lit(0)), F.length)
-    cuts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    marked = long.mapInArrow(classify, f"key {kind}, body binary, letters string, ends array<int>, byte_ends array<int>")
 
-    def piece(i):
-        frm, to = F.get("cuts", i), F.get("cuts", i + 1)
-        tail = F.substring(F.col("letters"), F.greatest(frm - overlap, F.lit(1)), F.lit(overlap))
+    def piece(cuts, body, letters, i):
+        frm, to = F.get(cuts, i), F.get(cuts, i + 1)
+        first = F.greatest(frm - overlap, F.lit(1))
+        # Bytes are cut out in one go, where characters would be counted from the start of the text.
+        tail = F.substring(letters, first, F.lit(overlap)).cast("string")
         word, char = F.length(F.regexp_extract(tail, "^[^PLSW]*[PLSW]", 0)), F.length(F.regexp_extract(tail, "^x*[PLSWc]", 0))
-        at = F.greatest(frm - overlap, F.lit(1)) - 1 + F.when(word > 0, word).otherwise(char)
-        begin = F.when((i == 0) | F.lit(overlap == 0), frm).when((word > 0) | (char > 0), F.least(at, frm)).otherwise(frm)
-        start = F.when(begin == 0, F.lit(0)).otherwise(F.get("ends", begin - 1))
-        end = F.get("ends", to - 1)
-        return F.struct(i.alias("piece"), start.alias("start_char"), end.alias("end_char"), (to - begin).alias("n_tokens"), (frm - begin).alias("overlap_tokens"), F.substring(F.col("text"), start + 1, end - start).alias("text"))
-
-    pieces = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), piece)
-    return marked.withColumn("cuts", cuts).select(F.col("key").alias(key), F.inline(pieces))
+        back = F.when(word > 0, word).otherwise(char)
+        begin = F.when((i == 0) | F.lit(overlap == 0) | (back == 0), frm).otherwise(F.least(first - 1 + back, frm))
+
+        def cut(begin):
+            start, at = (F.when(begin == 0, F.lit(0)).otherwise(F.get(c, begin - 1)) for c in ("ends", "byte_ends"))
+            return F.struct(i.alias("piece"), start.alias("start_char"), F.get("ends", to - 1).alias("end_char"), (to - begin).alias("n_tokens"), (frm - begin).alias("overlap_tokens"),
+                            F.substring(body, at + 1, F.get("byte_ends", to - 1) - at).cast("string").alias("text"))
+
+        return _let(begin, cut)
+
+    sizes = F.transform(F.regexp_extract_all("letters", F.lit(pattern(limit, overlap)), F.lit(0)), F.length)
+    each = lambda cuts, body, letters: F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda i: piece(cuts, body, letters, i))
+    pieces = _let(sizes, lambda n: _let(_running(n), lambda cuts: _let(F.col("body"), lambda body: _let(F.col("letters").cast("binary"), lambda letters: each(cuts, body, letters)))))
+    return marked.select(F.col("key").alias(key), F.inline(pieces))
+
+
+def _let(value, body):
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(sizes):
+    """0 and the running sums of an array. The sums are made in blocks of the square root of its length, since an array
+    that grows by one copies itself each time."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(sizes))).cast("int"), F.lit(1))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / width).cast("int"))
+    block = lambda b, w: F.slice(sizes, b * w + 1, w)
+    grow = lambda a, start: F.aggregate(a, F.array(start), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def sums(w):
+        totals = F.transform(blocks, lambda b: F.aggregate(block(b, w), F.lit(0), lambda a, n: a + n))
+        return _let(grow(totals, F.lit(0)), lambda starts: F.concat(F.array(F.lit(0)), F.flatten(F.transform(blocks, lambda b: F.slice(grow(block(b, w), F.get(starts, b)), F.lit(2), w)))))
+
+    return _let(width, sums)
