@@ -1,8 +1,10 @@
 """Most similar vectors for every vector: cross-polytope hashing with fast Hadamard pseudo-rotations.
 
-Each of ``TABLES`` tables turns a unit vector twice by three rounds of random signs and a Hadamard transform, and
-takes the nearest signed axis of both as its bucket. A vector is indexed in its own bucket and asks, besides, for the
-``PROBES`` - 1 next likely buckets. Whatever shares a bucket is compared exactly, in blocks.
+Each of ``TABLES`` tables turns a unit vector ``TURNS`` times by three rounds of random signs and a Hadamard transform; the
+nearest signed axis of each turn, then the second nearest of each, are the levels of its code. A bucket is as many levels
+as it takes until at most ``BUCKET`` vectors share them, so that the number of axes grows with the logarithm of the number
+of vectors, and more where they are dense. A vector is indexed under its own code and asks, besides, under the
+``PROBES`` - 1 next likely codes. Whatever shares a bucket is compared exactly.
 """
 
 from __future__ import annotations
@@ -14,9 +16,15 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-TABLES, PROBES, SEED = 10, 3, 20
-#: Vectors of one bucket that are compared as one block; fuller buckets are dealt out over several tasks.
-BLOCK_ROWS = 20_000
+from weft.session import cut
+
+TABLES, PROBES, TURNS, SEED = 6, 2, 4, 20
+#: Most vectors in a bucket, and about how many one task compares at a time.
+BUCKET, PART_ROWS = 512, 32_768
+#: Most vectors from which the bounds of the parts are taken.
+SAMPLE_ROWS = 100_000
+#: Vectors of one code with a cosine this near to 1 all have 1.000000 with each other.
+SAME = 1 - 1e-7
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -28,28 +36,42 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def _axes(x: np.ndarray, signs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The signed axes nearest to the rotated vectors, best first, and how long they are."""
-    for s in signs:
-        x = _hadamard(x * s)
-    size = np.abs(x)
-    order = np.argsort(-size, axis=1, kind="stable")[:, :width]
-    return order * 2 + (np.take_along_axis(x, order, 1) < 0), np.take_along_axis(size, order, 1)
-
-
-def buckets(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> Iterator[np.ndarray]:
-    """For each table the buckets of each vector: its own, then the next likely ones by the length that is lost."""
+def _codes(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> Iterator[np.ndarray]:
+    """For each table the codes of each vector: its own, then those where one of the first turns takes its second axis
+    instead, by the length that is lost. A level is eight bits or more, the first level the highest."""
     dim = unit.shape[1]
     padded = 1 << max(1, (dim - 1).bit_length())
+    bits = max(1, (2 * padded - 1).bit_length())
+    levels = min(2 * TURNS, 62 // bits)
+    turns = min(TURNS, levels)
     x = np.zeros((len(unit), padded))
     x[:, :dim] = unit
-    draw, width = np.random.default_rng(seed), min(4, padded)
-    for t in range(tables):
-        (a, la), (b, lb) = (_axes(x, draw.choice([-1.0, 1.0], (3, padded)), width) for _ in range(2))
-        lost = (la[:, :1] - la)[:, :, None] ** 2 + (lb[:, :1] - lb)[:, None, :] ** 2
-        best = np.argsort(lost.reshape(len(x), -1), axis=1, kind="stable")[:, :probes]
-        rows = np.arange(len(x))[:, None]
-        yield ((t * 2 * padded) + a[rows, best // width]) * (2 * padded) + b[rows, best % width]
+    draw = np.random.default_rng(seed)
+    rows = np.arange(len(x))
+    for _ in range(tables):
+        best, lost = [], []
+        for _ in range(turns):
+            y = x
+            for signs in draw.choice([-1.0, 1.0], (3, padded)):
+                y = _hadamard(y * signs)
+            size = np.abs(y)
+            first = size.argmax(1)
+            a = size[rows, first]
+            size[rows, first] = -1
+            second = size.argmax(1)
+            best.append([2 * i + (y[rows, i] < 0) for i in (first, second)])
+            lost.append((a - size[rows, second]) ** 2)
+        level = np.stack([best[t][0] for t in range(turns)] + [best[t][1] for t in range(levels - turns)], 1)
+        shift = bits * (levels - 1 - np.arange(levels))
+        own = (level << shift).sum(1)
+        # The buckets of the first two turns split nearly everything; what is asked for lies there.
+        order = np.argsort(np.stack(lost[:2], 1), axis=1, kind="stable")[:, :probes - 1]
+        out = [own]
+        for k in range(order.shape[1]):
+            t = order[:, k]
+            other = np.stack([b[1] for b in best], 1)[rows, t]
+            out.append(own + ((other - level[rows, t]) << shift[t]))
+        yield np.stack(out, 1)
 
 
 def usable_vectors(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -71,115 +93,192 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _compare(dim: int, k: int, least: float):
-    """Rows come sorted by (bucket, salt, role): what is indexed (and asks as well), then what only asks. Whatever
-    meets counts for both, so that a pair is missed only if neither asks in a bucket of the other."""
-
-    def top(ids: pa.Array, others: pa.Array, sims: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """The k best of what was met here, for each row number ``of``."""
-        pairs = pa.table({"id": ids, "other": others, "sim": sims, "of": of})
-        pairs = pairs.filter(pa.compute.not_equal(pairs["id"], pairs["other"]))
-        if pairs.num_rows > k:
-            pairs = pairs.sort_by([("of", "ascending"), ("sim", "descending"), ("other", "ascending")])
-            row = pairs["of"].to_numpy()
-            first = np.searchsorted(row, row, "left")
-            pairs = pairs.filter(pa.array(np.arange(len(row)) - first < k))
-        yield from pairs.select(["id", "other", "sim"]).to_batches()
-
-    def ask(index: tuple[np.ndarray, pa.Array], queries: tuple[np.ndarray, pa.Array]) -> Iterator[pa.RecordBatch]:
-        have, names = index
-        asks, who = queries
-        step = max(1, 2_000_000 // max(1, len(have)))
-        for lo in range(0, len(asks), step):
-            sims = np.round(asks[lo:lo + step] @ have.T, 6)
-            q, c = np.nonzero(sims >= least)
-            if not len(q):
+class _Part:
+    """What one table has in one range of codes."""
+
+    def __init__(self, dim: int, k: int, least: float, shifts: list[int], bucket: int):
+        self.dim, self.k, self.least, self.shifts, self.bucket = dim, k, least, shifts, bucket
+        self.ids: list[pa.Array] = []
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_found = 0
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, sims: np.ndarray) -> None:
+        self.found.append((a, b, sims))
+        self.n_found += len(a)
+
+    def compare(self, unit: np.ndarray, index: np.ndarray, asks: np.ndarray) -> None:
+        """Everything of a bucket with everything indexed in it, both ways, a stretch at a time."""
+        step = max(1, 4_000_000 // max(1, len(index)))
+        for who, own in ((index, True), (asks, False)):
+            for lo in range(0, len(who), step):
+                q = who[lo:lo + step]
+                sims = np.round(unit[q] @ unit[index].T, 6)
+                i, j = np.nonzero(sims >= self.least)
+                i, j, s = q[i], index[j], sims[i, j]
+                self.pairs(i, j, s)
+                if not own:
+                    self.pairs(j, i, s)
+                if self.n_found > 3_000_000:
+                    self.best()
+
+    def best(self) -> None:
+        """Keep the k best of each row so far; ties by the order of ids."""
+        a, b, s = (np.concatenate([f[c] for f in self.found]) for c in range(3))
+        keep = self.rank[a] != self.rank[b]
+        a, b, s = a[keep], b[keep], s[keep]
+        order = np.lexsort((self.rank[b], -s, self.rank[a]))
+        a, b, s = a[order], b[order], s[order]
+        ra, rb = self.rank[a], self.rank[b]
+        fresh = np.ones(len(a), bool)
+        fresh[1:] = (ra[1:] != ra[:-1]) | (rb[1:] != rb[:-1]) | (s[1:] != s[:-1])
+        a, b, s, ra = a[fresh], b[fresh], s[fresh], ra[fresh]
+        nth = np.arange(len(a)) - np.searchsorted(ra, ra, "left")
+        keep = nth < self.k
+        self.found, self.n_found = [(a[keep], b[keep], s[keep])], int(keep.sum())
+
+    def same(self, unit: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Rows of one code without those that have the direction of another: these get the smallest ids of that direction,
+        as the rule for ties demands. What is left stands for them."""
+        left, rest = [], rows[np.argsort(self.rank[rows], kind="stable")]
+        while len(rest):
+            near = unit[rest] @ unit[rest[0]] >= SAME
+            near[0] = True
+            group, rest = rest[near], rest[~near]
+            heads = group[:self.k + 1]
+            a, b = np.repeat(group, len(heads)), np.tile(heads, len(group))
+            self.pairs(a, b, np.ones(len(a)))
+            left.append(heads)
+            if len(left) > 1000:
+                left.append(rest)
+                break
+        return np.concatenate(left)
+
+    def run(self, code: np.ndarray, role: np.ndarray, ids: pa.Array, unit: np.ndarray) -> pa.RecordBatch | None:
+        names = ids.dictionary_encode()
+        rank = np.empty(len(names.dictionary), np.int64)
+        rank[pa.compute.sort_indices(names.dictionary).to_numpy()] = np.arange(len(rank))
+        self.rank = rank[names.indices.to_numpy()]
+        index, asks = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        index, asks = index[np.argsort(code[index], kind="stable")], asks[np.argsort(code[asks], kind="stable")]
+        todo = [(index, asks, 0)]
+        while todo:
+            index, asks, level = todo.pop()
+            if not len(index):
+                continue
+            if len(index) <= self.bucket or level == len(self.shifts):
+                self.compare(unit, self.same(unit, index) if len(index) > self.bucket else index, asks)
                 continue
-            ids, others, s = who.take(pa.array(q + lo)), names.take(pa.array(c)), sims[q, c]
-            yield from top(ids, others, s, q)
-            if have is not asks:
-                yield from top(others, ids, s, c)
+            key, ask = code[index] >> self.shifts[level], code[asks] >> self.shifts[level]
+            cuts = np.flatnonzero(np.diff(key)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                a, z = np.searchsorted(ask, key[lo], "left"), np.searchsorted(ask, key[lo], "right")
+                todo.append((index[lo:hi], asks[a:z], level + 1))
+        if not self.n_found:
+            return None
+        self.best()
+        a, b, s = self.found[0]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s)], ["id", "other", "sim"])
+
+
+def _compare(dim: int, k: int, least: float, shifts: list[int], bucket: int, number: type):
+    """Rows come sorted by part: what is indexed (and asks as well), and what only asks. Whatever meets counts for both, so
+    that a pair is missed only if neither asks in a bucket of the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, index, pending = None, None, []
+        at, held = None, []
 
         def settle() -> Iterator[pa.RecordBatch]:
-            nonlocal index, pending
-            if pending:
-                t = pa.Table.from_batches(pending).combine_chunks()
-                index, pending = (_unit(_matrix(t["vector"].combine_chunks(), dim)), t["id"].combine_chunks()), []
-                if len(index[0]) > 1:
-                    yield from ask(index, index)
+            if held:
+                t = pa.Table.from_batches(held).combine_chunks()
+                unit = _unit(np.frombuffer(b"".join(t["vector"].to_pylist()), number).reshape(-1, dim).astype(np.float64))
+                found = _Part(dim, k, least, shifts, bucket).run(t["code"].to_numpy(), t["role"].to_numpy(), t["id"].combine_chunks(), unit)
+                if found is not None and found.num_rows:
+                    yield from (found.slice(i, 100_000) for i in range(0, found.num_rows, 100_000))
 
         for b in batches:
-            bucket, salt, role = (b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "salt", "role"))
-            cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(salt) != 0) | (np.diff(role) != 0)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
+            part = b.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
                 if lo == hi:
                     continue
-                here = (bucket[lo], salt[lo])
-                if here != at:
+                if part[lo] != at:
                     yield from settle()
-                    at, index = here, None
-                part = b.slice(lo, hi - lo)
-                if role[lo] == 0:
-                    pending.append(part)
-                    continue
-                yield from settle()
-                if index is not None:
-                    yield from ask(index, (_unit(_matrix(part.column("vector"), dim)), part.column("id")))
+                    at, held = part[lo], []
+                held.append(b.slice(lo, hi - lo))
         yield from settle()
 
     return run
 
 
+def _bounds(codes: np.ndarray, parts: int, shifts: list[int]) -> np.ndarray:
+    """Where a table is cut into parts: quantiles of the codes, moved down to where a level begins if that moves them by at
+    most half a part, the first level that does so. A code that fills several parts is several bounds."""
+    codes, out = np.sort(codes), []
+    for i in range(1, parts):
+        at = i * len(codes) // parts
+        for shift in [*shifts, 0]:
+            bound = codes[at] >> shift << shift
+            if at - np.searchsorted(codes, bound, "left") <= len(codes) / parts / 2:
+                break
+        out.append(max(bound, out[-1] if out else bound))
+    return np.array(out, np.int64)
+
+
+def _part_of(bounds: np.ndarray, code: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The part of each code; a code that is several bounds is dealt out over as many parts."""
+    left, right = np.searchsorted(bounds, code, "left"), np.searchsorted(bounds, code, "right")
+    return np.where(right - left > 1, left + 1 + h % np.maximum(right - left, 1), right)
+
+
 def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(id, other, sim): for every vector the ``k`` most similar others with a cosine of at least ``least``.
 
     Cosines are in double precision, rounded to 6 decimals; ties go to the smaller id. Equal vectors are searched
     once: a class of equal vectors is one row of the index, stands for its k + 1 smallest ids, and gives its result
-    to all its members, so that a third of all rows with one vector costs no more than one. Buckets above
-    ``BLOCK_ROWS`` are dealt out: each task has one block of the index and all that ask, so no bucket is capped.
-    Which buckets these are goes by way of the driver: at most ``tables`` * vectors / ``BLOCK_ROWS`` pairs of numbers.
-    The vectors are shuffled once, ``tables`` * ``probes`` times each.
-    What the tables miss is missing; the rest is exact. See :func:`usable_vectors` for what takes part."""
+    to all its members, so that a third of all rows with one vector costs no more than one.
+
+    Each table is cut into ranges of codes of about ``PART_ROWS`` vectors; their bounds are quantiles of the codes of at
+    most ``SAMPLE_ROWS`` vectors, and nothing else goes by way of the driver. A bucket has no cap: it is split by further
+    levels of the code, vectors of one direction are given the smallest ids of it, and what then is left under one whole
+    code is compared as it is. A code that fills several parts is dealt out over them by a hash of the id, so that no task holds
+    it alone; its vectors, which have one direction, then get the smallest ids of their part. Vectors are shuffled once,
+    ``tables`` * ``probes`` times each, as bare numbers.
+    What the tables miss is missing; what they find is exact. See :func:`usable_vectors` for what takes part."""
     given = usable_vectors(rows, key, vector, dim)
-    rep = given.groupBy("vector").agg(F.min("id").alias("rep"))
-    members = given.join(rep, "vector").select("id", "rep")
-    reps = rep.select(F.col("rep").alias("id"), "vector")
+    reps = cut(given.groupBy("vector").agg(F.min("id").alias("id")))
+    members = given.join(reps.select("vector", F.col("id").alias("rep")), "vector").select("id", "rep")
     own = W.partitionBy("rep").orderBy("id")
     smallest = members.withColumn("n", F.row_number().over(own)).where(F.col("n") <= k + 1).select("rep", F.col("id").alias("other"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                for codes in buckets(_unit(_matrix(b.column(0), dim)), tables, 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(codes[:, 0], pa.int64())], ["bucket"])
-
-    crowded = reps.select("vector").mapInArrow(count, "bucket bigint").groupBy("bucket").count().where(F.col("count") > BLOCK_ROWS)
-    blocks = {r["bucket"]: -(-r["count"] // BLOCK_ROWS) for r in crowded.collect()}
+    padded = 1 << max(1, (dim - 1).bit_length())
+    bits = max(1, (2 * padded - 1).bit_length())
+    levels = min(2 * TURNS, 62 // bits)
+    shifts = [bits * (levels - 1 - i) for i in range(levels)]
+
+    number = np.float32 if reps.schema["vector"].dataType.elementType.typeName() == "float" else np.float64
+    total = reps.count()
+    parts = max(1, -(-total // PART_ROWS))
+    bounds = [np.empty(0, np.int64)] * tables
+    if parts > 1:
+        taken = reps.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks()
+        seen = [c[:, 0] for c in _codes(_unit(_matrix(taken, dim)), tables, 1)]
+        bounds = [_bounds(c, parts, shifts) for c in seen]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                mine = part.column("h").to_numpy()
-                for codes in buckets(_unit(_matrix(part.column("vector"), dim)), tables, probes):
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                m, mine = _matrix(part.column("vector"), dim), part.column("h").to_numpy()
+                body, size = m.astype(number).tobytes(), number().itemsize * dim
+                packed = pa.array([body[i:i + size] for i in range(0, len(body), size)], pa.binary())
+                for t, codes in enumerate(_codes(_unit(m), tables, probes)):
                     n, p = codes.shape
-                    row, bucket, role = np.tile(np.arange(n), p), codes.T.ravel(), np.repeat(np.minimum(np.arange(p), 1), n)
-                    salt = np.zeros(len(row), np.int64)
-                    if blocks:
-                        many = np.array([blocks.get(x, 1) for x in bucket.tolist()])
-                        row, bucket, role = (np.repeat(x, many) for x in (row, bucket, role))
-                        salt = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                        role = np.where((role == 0) & (salt == mine[row] % np.repeat(many, many)), 0, 1)
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(salt, pa.int32()), pa.array(role, pa.int32()), part.column("id").take(take), part.column("vector").take(take)], ["bucket", "salt", "role", "id", "vector"])
-
-    kind = reps.schema["vector"].dataType.simpleString()
-    placed = reps.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).mapInArrow(place, f"bucket bigint, salt int, role int, id string, vector {kind}")
-    laid = placed.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "role")
-    met = laid.mapInArrow(_compare(dim, k, least), "id string, other string, sim double").groupBy("id", "other").agg(F.max("sim").alias("sim"))
+                    code, take = codes.T.ravel(), pa.array(np.tile(np.arange(n), p))
+                    where = _part_of(bounds[t], code, np.tile(mine, p)) + t * parts
+                    yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(code, pa.int64()), pa.array(np.repeat(np.minimum(np.arange(p), 1), n), pa.int32()), part.column("id").take(take), packed.take(take)], ["part", "code", "role", "id", "vector"])
+
+    placed = reps.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h")).mapInArrow(place, "part bigint, code bigint, role int, id string, vector binary")
+    laid = placed.repartition("part").sortWithinPartitions("part")
+    met = laid.mapInArrow(_compare(dim, k, least, shifts, BUCKET, number), "id string, other string, sim double").groupBy("id", "other").agg(F.max("sim").alias("sim"))
     best = W.partitionBy("id").orderBy(F.desc("sim"), "other")
     met = met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
     stand_in = smallest.select(F.col("rep").alias("__c"), F.col("other").alias("__o"))
