@@ -21,7 +21,7 @@ from weft.session import cut
 TABLES, PROBES, TURNS, SEED = 6, 2, 4, 20
 #: Most vectors in a bucket, and about how many one task compares at a time.
 BUCKET, PART_ROWS = 512, 32_768
-#: Most vectors from which the bounds of the parts are taken.
+#: Vectors, about, from which the bounds of the parts are taken.
 SAMPLE_ROWS = 100_000
 #: Vectors of one code with a cosine this near to 1 all have 1.000000 with each other.
 SAME = 1 - 1e-7
@@ -237,8 +237,8 @@ def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 5, least:
     once: a class of equal vectors is one row of the index, stands for its k + 1 smallest ids, and gives its result
     to all its members, so that a third of all rows with one vector costs no more than one.
 
-    Each table is cut into ranges of codes of about ``PART_ROWS`` vectors; their bounds are quantiles of the codes of at
-    most ``SAMPLE_ROWS`` vectors, and nothing else goes by way of the driver. A bucket has no cap: it is split by further
+    Each table is cut into ranges of codes of about ``PART_ROWS`` vectors; their bounds are quantiles of the codes of
+    about ``SAMPLE_ROWS`` vectors, and nothing else goes by way of the driver. A bucket has no cap: it is split by further
     levels of the code, vectors of one direction are given the smallest ids of it, and what then is left under one whole
     code is compared as it is. A code that fills several parts is dealt out over them by a hash of the id, so that no task holds
     it alone; its vectors, which have one direction, then get the smallest ids of their part. Vectors are shuffled once,
@@ -256,11 +256,19 @@ def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 5, least:
 
     number = np.float32 if reps.schema["vector"].dataType.elementType.typeName() == "float" else np.float64
     total = reps.count()
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                for t, codes in enumerate(_codes(_unit(_matrix(b.column(0), dim)), tables, 1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), t), pa.int32()), pa.array(codes[:, 0], pa.int64())], ["t", "code"])
+
     parts = max(1, -(-total // PART_ROWS))
     bounds = [np.empty(0, np.int64)] * tables
     if parts > 1:
-        taken = reps.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks()
-        seen = [c[:, 0] for c in _codes(_unit(_matrix(taken, dim)), tables, 1)]
+        some = reps.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(-(-total // SAMPLE_ROWS))) == 0).select("vector").mapInArrow(sample, "t int, code bigint").toArrow()
+        of, codes = some["t"].to_numpy(), some["code"].to_numpy()
+        seen = [codes[of == t] for t in range(tables)]
         bounds = [_bounds(c, parts, shifts) for c in seen]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
