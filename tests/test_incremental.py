@@ -70,6 +70,46 @@ def test_runs_that_fail_skip_and_repeat_nothing(spark):
     assert sorted(committed) == [("a", "1"), ("a", "2"), ("b", "1"), ("b", "2"), ("c", "1")]
 
 
+def test_stored_bounds_and_debts(spark, tmp_path):
+    """Six runs whose ledger, bound and debts lie in files: one fails, one is never closed, rows come late and are superseded.
+    Each run reads only rows since the bound and its debts, and yet finds what an audit of the whole source finds."""
+    log, states, ledger, bounds, owed, committed = [], [], [], [], [], []
+    arrivals = {1: [("a", "1", day(1)), ("b", "1", day(1))], 2: [("a", "2", day(2)), ("c", "1", day(2))], 3: [("d", "1", day(3))], 4: [("late", "1", day(1)), ("b", "0", dt(2024, 12, 1)), ("a", "3", day(4))], 5: [("e", None, day(5))], 6: [("late", "2", day(6)), ("f", "1", day(2))]}
+    outcome = {1: "success", 2: "failed", 3: "running", 4: "success", 5: "success", 6: "success"}
+    kinds = {"ledger": "key string, version string", "bounds": "project string, reread_from timestamp", "owed": "key string, version string, project string, seen_at timestamp, via string"}
+    for n in range(1, 7):
+        log += [(k, v, "p", t, "x") for k, v, t in arrivals[n]]
+        source = spark.createDataFrame(log, SOURCE)
+        for name, rows in (("ledger", ledger), ("bounds", bounds), ("owed", owed)):
+            spark.createDataFrame(rows, kinds[name]).write.mode("overwrite").parquet(str(tmp_path / name))
+        had = {name: spark.read.parquet(str(tmp_path / name)) for name in kinds}
+        due = inc.changed_records(source, had["ledger"], had["bounds"], late="trust", owed=had["owed"])
+        found = {(r.key, r.version) for r in due.collect()}
+        fresh = {(r.key, r.version) for r in inc.changed_records(source, had["ledger"]).collect()}
+        # What came late since the last commit is only in the debts of the next one.
+        assert found <= fresh and {k for k, _ in fresh - found} <= {k for k, _, t in arrivals[n] if t < day(n)}
+        states.append((n, "p", outcome[n], day(n, 12), None if outcome[n] == "running" else day(n, 13), day(n, 13)))
+        if outcome[n] == "success":
+            committed += sorted(x for x in found if x[1])
+            after = inc.advance(had["ledger"], due)
+            new_bounds = inc.reread_from(inc.run_states(spark.createDataFrame(states, RUNS)))
+            ledger, bounds = [tuple(r) for r in after.collect()], [tuple(r) for r in new_bounds.collect()]
+            owed = [tuple(r) for r in inc.debts(source, after, new_bounds).collect()]
+    assert len(committed) == len(set(committed)) and set(committed) | {(r[0], r[1]) for r in owed} >= {("a", "1"), ("b", "1"), ("a", "3"), ("c", "1"), ("d", "1"), ("late", "1"), ("late", "2"), ("f", "1")}
+    assert {r[0] for r in owed} == {"f"}
+
+
+def test_the_bound_is_in_the_plan(spark):
+    import os
+
+    from weft.plans import problems
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    plan = problems.p1_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__w") >= 2 and "seen_at" in plan and "Union" in plan
+
+
 def test_asof_against_brute_force(spark):
     import random
 

@@ -1,8 +1,9 @@
 """Processing only new or changed records.
 
 A run rereads the source from the oldest transaction that was still open at the last successful run, and drops by an
-anti-join on (key, version) what a ledger of processed versions already holds. The ledger decides alone whether a
-record is due, so that a failed run repeats nothing and loses nothing; the reread bound only saves reading.
+anti-join on (key, version) what a ledger of processed versions already holds. What is older than that bound and still due,
+because it came late or a run that owned it failed, is a small table of debts: a run reads what is new and what it owes.
+The ledger decides alone whether a record is due, so that a failed run repeats nothing and loses nothing.
 """
 
 from __future__ import annotations
@@ -46,13 +47,40 @@ def processed_ledger(written: DataFrame, states: DataFrame) -> DataFrame:
     return owned.where("run.ok").groupBy("key").agg(F.max(F.struct("written_at", "version")).alias("last")).select("key", F.col("last.version").alias("version"))
 
 
-def changed_records(source: DataFrame, ledger: DataFrame, bounds: DataFrame | None = None, late: str = "audit") -> DataFrame:
+def _current(rows: DataFrame) -> DataFrame:
+    """The latest row of each key (key, version, project, seen_at, via)."""
+    latest = rows.where("key IS NOT NULL").groupBy("key").agg(F.max(F.struct("seen_at", "version", "project", "via")).alias("now"))
+    return latest.select("key", "now.version", "now.project", "now.seen_at", "now.via")
+
+
+def _missing(current: DataFrame, ledger: DataFrame) -> DataFrame:
+    had = ledger.select(F.col("key").alias("__k"), F.col("version").alias("__v"))
+    return current.join(had, (F.col("key") == F.col("__k")) & (F.col("version") == F.col("__v")), "left_anti")
+
+
+def _bounded(source: DataFrame, bounds: DataFrame) -> DataFrame:
+    b = bounds.select(F.col("project").alias("__p"), F.col("reread_from").alias("__w"))
+    return source.select("key", "version", "project", "seen_at").join(b, F.col("project") == F.col("__p"), "left")
+
+
+def debts(source: DataFrame, ledger: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(key, version, project, seen_at, via): what was seen before the bound of its project and is still due.
+
+    Stored when a run commits, it lets the next run read only the rows since the bound. Rows without a time are looked at
+    here, since no bound can tell when they came; ``via`` is 'late', or 'reread' for these."""
+    rows = _bounded(source, bounds)
+    via = F.when(F.col("__w").isNull() | (F.col("seen_at") >= F.col("__w")), "fresh").when(F.col("seen_at").isNull(), "reread").otherwise("late")
+    return _missing(_current(rows.select("key", "version", "project", "seen_at", via.alias("via"))).where("via <> 'fresh'"), ledger)
+
+
+def changed_records(source: DataFrame, ledger: DataFrame, bounds: DataFrame | None = None, late: str = "audit", owed: DataFrame | None = None) -> DataFrame:
     """(key, version, project, seen_at, via): the current version of each key of ``source`` that the ledger lacks.
 
     ``source`` has key, version, project and seen_at, one row for each version seen; the latest seen_at of a key is
-    its current row. ``bounds`` has (project, reread_from). With ``late="trust"`` rows seen before the bound of their
-    project are taken as processed and not read again; that is right only if rows are never late and no run failed
-    before the bound. With ``late="audit"`` they go through the same anti-join, ``via`` telling 'late' from 'reread'.
+    its current row. ``bounds`` has (project, reread_from): rows since the bound of their project are read, ``via`` 'reread';
+    without bounds all are. What is older comes from ``owed``, the stored table of :func:`debts`, ``via`` 'late'. Where none
+    is given, ``late="audit"`` works it out from the whole source; ``late="trust"`` does without, which is right only if no
+    row is ever late and no run failed before the bound.
 
     A null version is never processed: it stays due at each run. Null keys are left out. Repeated rows are one; of
     two versions seen at one time the greater holds. Each key comes out once. An empty ledger makes every key due.
@@ -60,19 +88,16 @@ def changed_records(source: DataFrame, ledger: DataFrame, bounds: DataFrame | No
     """
     if late not in ("audit", "trust"):
         raise ValueError(f"late: {late!r}")
-    current = (source.where("key IS NOT NULL").groupBy("key").agg(F.max(F.struct("seen_at", "version", "project")).alias("now"))
-               .select("key", "now.version", "now.project", "now.seen_at"))
     if bounds is None:
-        current = current.withColumn("via", F.lit("reread"))
-    else:
-        b = bounds.select(F.col("project").alias("__p"), F.col("reread_from").alias("__w"))
-        current = current.join(b, F.col("project") == F.col("__p"), "left")
-        fresh = F.coalesce(F.col("seen_at") >= F.col("__w"), F.lit(True))
-        current = current.withColumn("via", F.when(fresh, "reread").otherwise("late")).drop("__p", "__w")
-        if late == "trust":
-            current = current.where("via = 'reread'")
-    had = ledger.select(F.col("key").alias("__k"), F.col("version").alias("__v"))
-    return current.join(had, (F.col("key") == F.col("__k")) & (F.col("version") == F.col("__v")), "left_anti")
+        return _missing(_current(source.withColumn("via", F.lit("reread"))), ledger)
+    if owed is None and late == "audit":
+        owed = debts(source, ledger, bounds)
+    fresh = F.col("__w").isNull() | (F.col("seen_at") >= F.col("__w"))
+    rows = _bounded(source, bounds).where(fresh if owed is not None else fresh | F.col("seen_at").isNull())
+    rows = rows.select("key", "version", "project", "seen_at", F.lit("reread").alias("via"))
+    if owed is not None:
+        rows = rows.unionByName(owed.select("key", "version", "project", "seen_at", "via"))
+    return _missing(_current(rows), ledger)
 
 
 def advance(ledger: DataFrame, processed: DataFrame) -> DataFrame:
