@@ -173,7 +173,73 @@ def test_import_matrix(spark):
     settings = spark.createDataFrame([("p", "example.com/m/", ""), ("p", "App\\", "src")], "project string, prefix string, base string")
     got = {(r.path, r.raw): r.target for r in extract.resolve_imports(imports, files, settings).collect()}
     assert got == {("p/src/m.js", "./x.js"): "p/src/x.js", ("p/src/m.js", "./util"): "p/src/util/index.ts", ("p/src/m.js", "@/lib/a"): "p/src/lib/a.ts", ("p/src/m.js", "react"): "external:react", ("p/App.java", "com.x.util.V.isValid"): "p/com/x/util/V.java",
-                   ("p/main.rs", "helper"): "p/helper.rs", ("p/main.rs", "sub"): "p/sub/mod.rs", ("p/main.go", "example.com/m/util"): "p/util/helper.go", ("p/main.c", "inc/h.h"): "p/inc/h.h", ("p/src/App.php", "App\\Util\\Validator"): "p/src/Util/Validator.php", ("p/src/deep/y.js", "../x"): "p/src/x.js", ("p/src/m.js", "../../../x"): "external:../../../x"}
+                   ("p/main.rs", "helper"): "p/helper.rs", ("p/main.rs", "sub"): "p/sub/mod.rs", ("p/main.go", "example.com/m/util"): "p/util/helper.go", ("p/main.c", "inc/h.h"): "p/inc/h.h", ("p/src/App.php", "App\\Util\\Validator"): "p/src/Util/Validator.php", ("p/src/deep/y.js", "../x"): "p/src/x.js", ("p/src/m.js", "../../../x"): None}
+
+
+LANGS = {
+    "p/web/a.ts": ("typescript", "import { add as plus, type T } from './b';\nimport Store, { x } from '../lib/store';\nconst y = require('left-pad');\nexport interface Shape { area(): number }\nexport class Box extends Base implements Shape {\n  get size() { return plus(1, 2); }\n  put = async (v) => { Store.save(v); this.size(); };\n}\nexport const LIMIT = 3;\nfunction main() {\n  helper(plus(1));\n}\nconst helper = (v) => v;\n"),
+    "p/web/b.ts": ("typescript", "export function add(a: number, b: number): number {\n  return a + b;\n}\nclass Base {}\n"),
+    "p/lib/store.js": ("javascript", "export function save(v) { return v }\n"),
+    "p/main.go": ("go", "package main\n\nimport (\n\t\"fmt\"\n\tu \"ex.com/m/util\"\n)\n\ntype Server struct {\n\tname string\n}\n\nfunc (s *Server) Run(n int) error {\n\tutil.Help(n)\n\treturn nil\n}\n"),
+    "p/util/h.go": ("go", "package util\n\nfunc Help(n int) {\n}\n"),
+    "p/com/x/A.java": ("java", "package com.x;\nimport com.x.util.V;\npublic class A extends B {\n  @Override\n  public String run(int a) { if (a > 0) { return V.check(a); } return null; }\n  A() { }\n  abstract int none();\n}\n"),
+    "p/com/x/util/V.java": ("java", "public class V { static String check(int a) { return null; } }\n"),
+    "p/src/main.rs": ("rust", "mod helper;\n/* fn no() {} */\npub struct P<'a> { x: &'a str }\nimpl<'a> P<'a> {\n    pub fn new(x: char) -> Self { helper::go('{'); P { x: \"}\" } }\n}\nfn main() {}\n"),
+    "p/src/helper.rs": ("rust", "pub fn go(c: char) {}\n"),
+    "p/c/a.c": ("c", "#include \"b.h\"\n#include <stdio.h>\nstatic int twice(int x) {\n  return add(x, x);\n}\n"),
+    "p/c/b.h": ("c", "int add(int a, int b);\n"), "p/c/b.c": ("c", "int add(int a, int b) { return a + b; }\n"),
+    "p/s/A.cs": ("csharp", "using N.Util;\nnamespace N {\n  class A : Base {\n    public int Go(int x) { return Calc.Add(x, 1); }\n  }\n}\n"), "p/s/C.cs": ("csharp", "namespace N.Util {\n  static class Calc { public static int Add(int a, int b) => a + b; }\n}\n"),
+    "p/App/X.php": ("php", "<?php\nnamespace App;\nuse App\\\\Util\\\\V;\n# function no() {}\nclass X { function run() { return V::check(1); } }\n"),
+    "p/r/a.R": ("r", "source('b.R')\nf <- function(x) {\n  g(x)\n}\n"), "p/r/b.R": ("r", "g <- function(y) y\n"),
+    "p/v/m.vb": ("vb", "Imports N.Util\nPublic Class M\n  Public Sub Go()\n    Calc.Add(1)\n  End Sub\nEnd Class\n"), "p/a.s": ("asm", "start:\n  nop\n"),
+}
+
+
+def test_tokens_of_every_language(spark):
+    from weft.operators import deep
+
+    files = spark.createDataFrame([(p, lang, t) for p, (lang, t) in LANGS.items()] + [("p/null.go", "go", None), (None, "go", "x"), ("p/x.txt", "text", "func a() {")], "path string, lang string, text string")
+    facts = extract.facts(files)
+    nodes = {r.id.removeprefix("p/"): (r.line, r.end_line, r.tags[-1]) for r in facts.where("kind = 'node' AND contains(id, '::')").collect()}
+    assert nodes == {"web/a.ts::Shape": (4, 4, "type"), "web/a.ts::Box": (5, 8, "class"), "web/a.ts::Box.size": (6, 6, "method"), "web/a.ts::Box.put": (7, 7, "method"), "web/a.ts::LIMIT": (9, 9, "var"), "web/a.ts::main": (10, 12, "func"), "web/a.ts::helper": (13, 13, "func"), "web/b.ts::add": (1, 3, "func"), "web/b.ts::Base": (4, 4, "class"),
+                     "lib/store.js::save": (1, 1, "func"), "main.go::Server": (8, 10, "type"), "main.go::Server.Run": (12, 15, "method"), "util/h.go::Help": (3, 4, "func"), "com/x/A.java::A": (3, 8, "class"), "com/x/A.java::A.run": (5, 5, "method"), "com/x/A.java::A.A": (6, 6, "method"), "com/x/A.java::A.none": (7, 7, "method"), "com/x/util/V.java::V": (1, 1, "class"), "com/x/util/V.java::V.check": (1, 1, "method"),
+                     "src/main.rs::P": (3, 3, "type"), "src/main.rs::P.new": (5, 5, "method"), "src/main.rs::main": (7, 7, "func"), "src/helper.rs::go": (1, 1, "func"), "c/a.c::twice": (3, 5, "func"), "c/b.c::add": (1, 1, "func"), "s/A.cs::A": (3, 5, "class"), "s/A.cs::A.Go": (4, 4, "method"), "s/C.cs::Calc": (2, 2, "class"), "s/C.cs::Calc.Add": (2, 2, "method"),
+                     "App/X.php::X": (5, 5, "class"), "App/X.php::X.run": (5, 5, "method"), "r/a.R::f": (2, 4, "func"), "r/b.R::g": (1, 1, "func"), "v/m.vb::M": (2, 6, "class"), "v/m.vb::M.Go": (3, 5, "method"), "a.s::start": (1, 1, "label")}
+    imports = facts.where("kind = 'import'").select("path", F.col("name").alias("raw")).join(files.select("path", "lang"), "path")
+    settings = spark.createDataFrame([("p", "ex.com/m/", ""), ("p", "App\\", "App")], "project string, prefix string, base string")
+    resolved = extract.resolve_imports(imports, files.where("path IS NOT NULL").select("path"), settings)
+    edges = {(r.source, r.target, r.type) for r in extract.import_edges(resolved).collect()}
+    assert {("p/web/a.ts", "p/web/b.ts", "imports"), ("p/web/a.ts", "p/lib/store.js", "imports"), ("p/web/a.ts", "external:left-pad", "depends_on"), ("p/main.go", "external:fmt", "depends_on"), ("p/main.go", "p/util/h.go", "imports"), ("p/com/x/A.java", "p/com/x/util/V.java", "imports"), ("p/src/main.rs", "p/src/helper.rs", "imports"), ("p/r/a.R", "p/r/b.R", "imports")} <= edges
+    assert not any("/." in t or t.startswith("external:.") for _, t, _ in edges)
+    calls = facts.where("kind = 'call'").join(files.select("path", "lang"), "path")
+    symbols = facts.where("kind = 'node' AND contains(id, '::')").select("id", "path", "name")
+    bindings = facts.where("kind = 'binding'")
+    out = {(r.source.removeprefix("p/"), r.target.removeprefix("p/"), r.confidence) for r in extract.call_edges_by_import(calls, bindings, resolved, symbols).collect()}
+    assert {("web/a.ts::Box.size", "web/b.ts::add", 0.9), ("web/a.ts::main", "web/b.ts::add", 0.9), ("main.go::Server.Run", "util/h.go::Help", 0.85), ("com/x/A.java::A.run", "com/x/util/V.java::V.check", 0.85), ("src/main.rs::P.new", "src/helper.rs::go", 0.85), ("c/a.c::twice", "c/b.c::add", 0.8), ("r/a.R::f", "r/b.R::g", 0.8)} <= out
+    by_space = rows(extract.call_edges_by_namespace(calls, deep.namespaces(files.where("path IS NOT NULL")), symbols), "source", "target")
+    assert ("p/s/A.cs::A.Go", "p/s/C.cs::Calc.Add") in by_space and ("p/v/m.vb::M.Go", "p/s/C.cs::Calc.Add") in by_space
+    inside = rows(facts.where("kind = 'edge' AND name = 'calls'"), "source", "target")
+    assert ("p/web/a.ts::main", "p/web/a.ts::helper") in inside and ("p/web/a.ts::Box.put", "p/web/a.ts::Box.size") in inside
+    bases = extract.heritage_edges(facts.where("kind = 'base'"), bindings, resolved, symbols)
+    assert rows(bases, "source", "target") == [("p/web/a.ts::Box", "p/web/a.ts::Shape")]
+
+
+def test_broken_sources_are_read_in_linear_time():
+    import time
+
+    from weft.operators import read_tokens as rt
+
+    def seconds(lang, text):
+        best = 9.0
+        for _ in range(3):
+            began = time.process_time()
+            rt.read("p/x", lang, text)
+            best = min(best, time.process_time() - began)
+        return best
+
+    for lang, text in (("javascript", "import { a"), ("typescript", "class A { x = (a, "), ("go", "func (a\n"), ("java", "class A { @B( int"), ("rust", "impl<T> a for b {"), ("cpp", "a::b<c> d\n"), ("php", "use A{"), ("csharp", "[a]"), ("r", "f <- function(\n"), ("vb", "Class A\n"), ("javascript", "}")):
+        assert seconds(lang, text * 4000) < 4 * seconds(lang, text * 2000) + 0.1, (lang, text)
+    assert rt.read("p/x", "java", "").symbols == []
 
 
 def test_asm_calls(spark):
