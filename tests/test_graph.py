@@ -263,3 +263,42 @@ def test_export_round_trip(spark, tmp_path):
     assert rows(n, *nodes.columns) == rows(nodes, *nodes.columns) and rows(e, *edges.columns) == rows(edges, *edges.columns)
     out = render.report(nodes, edges, spark.createDataFrame([("a", 9, 3)], "id string, risk int, churn int"))
     assert "EXTRACTED: 1 (100 %)" in out and "a: risk 9" in out
+
+
+def test_upsert_keeps_maps(spark):
+    kind = "node_id string, churn long, authors map<string,long>"
+    old = spark.createDataFrame([("a", 1, {"x": 1}), ("b", 1, None)], kind)
+    new = spark.createDataFrame([("a", 2, {"y": 2, "x": 3}), ("a", 2, {"y": 2, "x": 3}), ("c", 1, {})], kind)
+    got = {r.node_id: (r.churn, r.authors) for r in model.upsert(old, new, ["node_id"]).collect()}
+    assert got == {"a": (2, {"x": 3, "y": 2}), "b": (1, None), "c": (1, {})}
+
+
+def test_impact_plan_does_not_grow(spark):
+    """A chain of nodes: each level is one join more at most, and cycles and dead ends stop."""
+    edges = spark.createDataFrame([(f"n{i + 1}", f"n{i}", "calls", 1.0, "ast") for i in range(12)] + [("n0", "n12", "calls", 1.0, "ast")], model.EDGES)
+    seeds = spark.createDataFrame([("n0",)], "id string")
+    joins = []
+    for depth in (2, 5):
+        out = graph.impact(edges, seeds, depth)
+        joins.append(out._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        assert {r.id: r.depth for r in out.collect()} == {f"n{i}": i for i in range(1, depth + 1)}
+    assert joins[1] <= joins[0] + 4
+    assert graph.impact(edges, spark.createDataFrame([("nowhere",)], "id string"), 50).count() == 0
+
+
+def test_paths_by_whole_suffix(spark):
+    files = spark.createDataFrame([(f"p{i}/pkg{i}/__init__.py",) for i in range(300)] + [("p/a.py",), ("p/src/a.py",), ("q/deep/x/b.py",)], "id string")
+    given = spark.createDataFrame([("./p/src/a.py",), ("a.py",), ("/home/me/q/deep/x/b.py",), ("x\\b.py",), ("pkg7/__init__.py",), ("nope.py",), (None,), ("__init__.py",)], "given string")
+    got = {r.given: r.file for r in runtime.resolve_paths(given, files).collect()}
+    assert got == {"./p/src/a.py": "p/src/a.py", "a.py": "p/a.py", "/home/me/q/deep/x/b.py": "q/deep/x/b.py", "x\\b.py": "q/deep/x/b.py", "pkg7/__init__.py": "p7/pkg7/__init__.py", "__init__.py": "p0/pkg0/__init__.py"}
+
+
+def test_history_goes_on_over_renames(spark):
+    renames = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(40)] + [("x", "y"), ("y", "x"), ("z", "y"), ("same", "same"), (None, "q")], "old_path string, new_path string")
+    targets = temporal.rename_targets(renames)
+    now = {r.old_path: r.now for r in targets.collect()}
+    assert all(now[f"f{i}"] == "f40" for i in range(40)) and "same" not in now and {now["x"], now["y"], now["z"]} <= {"x", "y"}
+    touched = spark.createDataFrame([("s1", "f0"), ("s1", "f40"), ("s2", "f7"), ("s3", "other")], "sha string, node string")
+    followed = temporal.follow_renames(touched, targets)
+    assert rows(followed, "sha", "node") == [("s1", "f40"), ("s2", "f40"), ("s3", "other")]
+    assert rows(temporal.churns(followed), "node", "churn") == [("f40", 2), ("other", 1)]

@@ -48,6 +48,14 @@ def test_reports(spark):
     assert rows(src.glossary(spark.createDataFrame([(g,)], "text string")), "entity", "aliases") == [("Order", ["order"]), ("X", [])]
 
 
+def test_junit_suites_in_suites_and_the_last_child(spark):
+    report = '<testsuites><testsuite><testsuite><testsuite><testcase classname="t" name="deep"><skipped/><error/></testcase></testsuite></testsuite><testcase classname="t" name="a"><error/><failure/></testcase></testsuite></testsuites>'
+    again = '<testsuite><testcase classname="t" name="a"><system-out>x</system-out></testcase><testcase classname="t" name="b"><failure/><skipped/></testcase></testsuite>'
+    got = src.junit(spark.createDataFrame([(report,), (again,), (None,), ("no xml",), ("",)], "text string").coalesce(1)).collect()
+    assert [(r.name, r.status) for r in sorted(got, key=lambda r: r.pos)] == [("deep", "error"), ("a", "failed"), ("a", "passed"), ("b", "skipped")]
+    assert len({r.pos for r in got}) == 4
+
+
 def test_refresh_from_arrivals(spark, tmp_path):
     folder, store = str(tmp_path / "in"), str(tmp_path / "ledger")
     empty = spark.createDataFrame([], "key string, version string")

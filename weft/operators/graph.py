@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from weft.session import cut
 from weft.operators.model import STRUCTURAL, confidence_label
 
 # Least degree of a hub, and the standard deviations above the mean.
@@ -74,7 +75,8 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
     """(id, depth, reasons): what depends on the seeds within ``depth`` steps, by incoming structural edges and by
     co-change in either direction, with the sorted distinct reasons met at any step.
 
-    One join a step; only newly met nodes go on, so that cycles end."""
+    One join a step; only newly met nodes go on, so that cycles end, and nothing is joined once none are left. Each level is
+    written to the shared folder, so that the plan of a level does not hold those before it."""
     inward = edges.where(F.col("type").isin(*STRUCTURAL)).select(F.col("target").alias("__at"), F.col("source").alias("id"), F.col("type").alias("reason"))
     co = edges.where("type = 'co_changes_with'")
     steps = inward.unionByName(co.select(F.col("source").alias("__at"), F.col("target").alias("id"), F.col("type").alias("reason"))).unionByName(co.select(F.col("target").alias("__at"), F.col("source").alias("id"), F.col("type").alias("reason"))).distinct()
@@ -82,10 +84,13 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
     seen, front, found = seeds, seeds, None
     for level in range(1, max(1, depth) + 1):
         met = front.select(F.col("id").alias("__at")).join(steps, "__at").select("id", "reason", F.lit(level).alias("depth")).distinct()
-        found = met if found is None else found.unionByName(met)
         if level < depth:
-            front = met.select("id").distinct().join(seen, "id", "left_anti")
+            met = cut(met)
+            front = cut(met.select("id").distinct().join(seen, "id", "left_anti"))
             seen = seen.unionByName(front)
+        found = met if found is None else found.unionByName(met)
+        if level < depth and front.isEmpty():
+            break
     found = found.join(seeds, "id", "left_anti")
     return found.groupBy("id").agg(F.min("depth").alias("depth"), F.array_sort(F.collect_set("reason")).alias("reasons"))
 

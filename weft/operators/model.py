@@ -20,11 +20,15 @@ WEAK = 0.4
 
 
 def last_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key, the last by ``order`` (nulls first), with partial aggregates instead of a window."""
+    """One row for each key, the last by ``order`` (nulls first), with partial aggregates instead of a window. Maps have no
+    order of their own and are compared by their sorted entries."""
+    maps = {c for c in rows.columns if rows.schema[c].dataType.typeName() == "map"}
+    if maps & {*keys, *order}:
+        raise ValueError("a map is no key")
     rest = [c for c in rows.columns if c not in keys and c not in order]
-    fixed = [c for c in rest if rows.schema[c].dataType.typeName() != "map"]
-    last = rows.groupBy(*keys).agg(F.max(F.struct(*order, *fixed)).alias("__last"))
-    return last.select(*[c if c in keys else F.col(f"__last.{c}").alias(c) for c in rows.columns if c in keys or c in order or c in fixed])
+    held = [F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in rest]
+    last = rows.groupBy(*keys).agg(F.max(F.struct(*order, *held)).alias("__last"))
+    return last.select(*(F.col(c) if c in keys else F.map_from_entries(f"__last.{c}").alias(c) if c in maps else F.col(f"__last.{c}").alias(c) for c in rows.columns))
 
 
 def current_nodes(nodes: DataFrame) -> DataFrame:

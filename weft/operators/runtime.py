@@ -74,11 +74,18 @@ def resolve_paths(paths: DataFrame, files: DataFrame) -> DataFrame:
     """(given, file): a path as a tool wrote it, to a file of the graph: the same, or the file whose id ends with it.
     Of several the shortest, then the least. A leading ``./`` is dropped and backslashes are slashes.
 
-    The suffix is found by an equi-join on the file name, not by testing all files."""
+    Whole suffixes are joined, each with the one file that is best for it, so that a name that thousands of files have is one
+    row, and a path meets one file a suffix."""
     tidy = F.regexp_replace(F.regexp_replace(F.translate("given", "\\", "/"), "/+", "/"), r"^\./", "")
-    p = paths.select("given").distinct().withColumn("tidy", tidy).withColumn("__base", F.substring_index("tidy", "/", -1))
-    f = files.select(F.col("id").alias("file")).distinct().withColumn("__base", F.substring_index("file", "/", -1))
-    hit = p.join(f, "__base").where("file = tidy OR endswith(file, concat('/', tidy)) OR endswith(tidy, concat('/', file))")
+    best = F.min(F.struct(F.length("file").alias("l"), "file")).alias("m")
+    p = paths.select("given").distinct().withColumn("tidy", tidy)
+    f = files.select(F.col("id").alias("file")).where("file IS NOT NULL").distinct()
+    suffix = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda k: F.array_join(F.slice(F.split(c, "/"), k, F.size(F.split(c, "/"))), "/")))
+    below = f.select("file", suffix(F.col("file")).alias("tidy")).groupBy("tidy").agg(best)
+    ends = p.join(below, "tidy").select("given", "tidy", "m.file")
+    above = p.select("given", "tidy", suffix(F.col("tidy")).alias("file")).join(f, "file").select("given", "tidy", "file")
+    hit = ends.unionByName(above)
+    # A file that is the path itself comes first, though a shorter one may end it.
     return hit.groupBy("given").agg(F.min(F.struct((F.col("file") != F.col("tidy")).alias("n"), F.length("file").alias("l"), "file")).alias("m")).select("given", "m.file")
 
 

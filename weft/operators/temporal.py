@@ -41,19 +41,19 @@ def expand_rename(path: Column) -> tuple[Column, Column]:
     return old, new
 
 
-def rename_targets(renames: DataFrame, rounds: int = 20) -> DataFrame:
+def rename_targets(renames: DataFrame) -> DataFrame:
     """(old_path, now): where a renamed path ended up. ``renames`` has old_path and new_path; of several targets of a
-    path the greatest holds. Each round follows twice as far, so that chains of 2 ** ``rounds`` are followed; a cycle
-    ends at its greatest member that was met."""
+    path the greatest holds. Each round follows twice as far, until every chain has met its end or, in a cycle, has gone as
+    far as there are renames."""
     step = renames.where("old_path IS NOT NULL AND new_path IS NOT NULL AND old_path <> new_path").groupBy("old_path").agg(F.max("new_path").alias("now"))
-    for _ in range(rounds):
-        step = cut(step)
+    step = cut(step)
+    for _ in range(step.count().bit_length() + 1):
         nxt = step.select(F.col("old_path").alias("now"), F.col("now").alias("__next"))
         joined = step.join(nxt, "now", "left")
         open_ends = joined.where("__next IS NOT NULL AND __next <> old_path").limit(1).count()
         if not open_ends:
             break
-        step = joined.select("old_path", F.when(F.col("__next").isNull() | (F.col("__next") == F.col("old_path")), F.col("now")).otherwise(F.col("__next")).alias("now"))
+        step = cut(joined.select("old_path", F.when(F.col("__next").isNull() | (F.col("__next") == F.col("old_path")), F.col("now")).otherwise(F.col("__next")).alias("now")))
     return step
 
 
@@ -62,6 +62,13 @@ def touches(commit_files: DataFrame, path: Column) -> DataFrame:
     return commit_files.select("sha", path.alias("node")).where("sha IS NOT NULL AND node IS NOT NULL").distinct()
 
 
+def follow_renames(touched: DataFrame, targets: DataFrame) -> DataFrame:
+    """(sha, node): what was touched under an old path counts for the path it has now (``targets``: old_path, now), so that
+    churn, authors and co-change go on over renames."""
+    to = targets.select(F.col("old_path").alias("node"), "now")
+    return touched.join(to, "node", "left").select("sha", F.coalesce("now", "node").alias("node")).distinct()
+
+
 def co_changes(touched: DataFrame, max_nodes: int = MAX_FILES) -> DataFrame:
     """(a, b, together), a < b: commits of two to ``max_nodes`` nodes that touch both. Sizes are counted before any pair
     is formed, and larger commits are looked up and dropped."""

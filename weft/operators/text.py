@@ -196,7 +196,7 @@ def domain_candidates(nodes: DataFrame, limit: int = 12) -> DataFrame:
     s = nodes.where("type = 'symbol' AND name IS NOT NULL")
     short = F.substring_index("name", ".", -1)
     like = F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, CLASS_TAGS))), F.lit(False)) | (short.rlike("^[A-Z]") & ~F.col("name").contains("."))
-    tokens = F.array_distinct(F.transform(F.regexp_extract_all(short, F.lit("[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), F.lit(0)), F.lower))
+    tokens = F.array_distinct(F.transform(F.filter(F.split(F.regexp_replace(camel_spaced(short), "([0-9]+)", " $1 "), "[^A-Za-z0-9]+"), lambda w: w != ""), F.lower))
     t = s.where(like).select("id", short.alias("short"), F.explode(tokens).alias("token")).where((F.length("token") >= 3) & ~F.col("token").isin(*GENERIC) & ~F.col("token").rlike("^[0-9]+$"))
     names = t.groupBy("token", "short").agg(F.count("*").alias("k"))
     first = names.withColumn("r", F.row_number().over(W.partitionBy("token").orderBy("short"))).where("r <= 3").groupBy("token").agg(F.array_join(F.array_sort(F.collect_list("short")), ", ").alias("examples"))

@@ -85,6 +85,12 @@ def _renames(s: SparkSession, d: str) -> DataFrame:
     return t.rename_targets(f.select(tidy(F.col("old_path")).alias("old_path"), tidy(F.col("new_path")).alias("new_path")))
 
 
+def _history_over_renames(s: SparkSession, d: str) -> DataFrame:
+    """Churn, dates and fixes of each path with what was done under its former names."""
+    touched = t.follow_renames(t.touches(table(s, d, "commit_files"), tidy(F.col("new_path"))), _renames(s, d))
+    return t.node_history(touched, table(s, d, "commits")).select("node", "churn", "first_changed", "last_changed", "fix_touches")
+
+
 def _lines(s: SparkSession, d: str) -> DataFrame:
     """Lines of source files, measured: the hits of a line are its length modulo three."""
     src = table(s, d, "sources").where("path IS NOT NULL AND text IS NOT NULL").select("path", "text").distinct()
@@ -173,6 +179,11 @@ cov AS (SELECT id, max((hits > 0)::INT) AS covered, sum((hits > 0)::INT) / count
 _TB = ", f AS (SELECT id FROM n WHERE type = 'file'), tb AS (SELECT DISTINCT target AS source, source AS target FROM e WHERE type = 'imports' AND source <> target AND " + IS_TEST.format("source") + " AND source IN (SELECT id FROM f) AND target IN (SELECT id FROM f))\n"
 _CASES = ", st AS (SELECT id, CASE WHEN length(name) % 3 = 0 THEN 'failed' ELSE 'passed' END AS status FROM n WHERE type = 'symbol' AND path LIKE '%.py' AND name IS NOT NULL AND " + IS_TEST.format("path") + " AND path IN (SELECT id FROM n WHERE type = 'file'))\n"
 
+_RENAMES = r"""WITH RECURSIVE st AS (SELECT o AS old_path, max(w) AS now FROM (SELECT regexp_replace(regexp_replace(replace(old_path, '\', '/'), '/+', '/', 'g'), '^\./', '') AS o, regexp_replace(regexp_replace(replace(new_path, '\', '/'), '/+', '/', 'g'), '^\./', '') AS w FROM commit_files) WHERE o <> w GROUP BY o),
+walk AS (SELECT old_path, now, 1 AS k FROM st UNION ALL SELECT walk.old_path, st.now, k + 1 FROM walk JOIN st ON walk.now = st.old_path WHERE k < 50 AND st.now <> walk.old_path),
+ends AS (SELECT old_path, arg_max(now, k) AS now FROM walk GROUP BY old_path)
+"""
+
 QUERIES = {
     "cochange_file": _cochange,
     "cochange_symbol_cross": lambda s, d: t.co_change_across(_author_days(s, d), _related(s, d), near=(2, 0.05), far=(3, 0.02)),
@@ -185,6 +196,7 @@ QUERIES = {
     "age_days": _ages,
     "cochange_theme": _themes,
     "rename_chain": _renames,
+    "history_over_renames": _history_over_renames,
     "enclosing_span": _enclosing,
     "interval_overlap": _overlap,
     "coverage_ratio": lambda s, d: r.coverage(_lines(s, d), r.spans(nodes(s, d))),
@@ -222,9 +234,10 @@ SELECT * FROM x WHERE risk >= 4""",
 ws AS (SELECT a, b, r, unnest(regexp_extract_all(lower(subject), '[a-záéíóúñ]{{3,}}')) AS w, unnest(range(len(regexp_extract_all(lower(subject), '[a-záéíóúñ]{{3,}}')))) AS k FROM sh),
 best AS (SELECT a, b, w, count(*) AS n, min(r * 10000 + k) AS met FROM ws WHERE w NOT IN {t.THEME_STOP} GROUP BY ALL), th AS (SELECT a, b, w AS theme FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY n DESC, met) AS k FROM best) WHERE k = 1)
 SELECT sh.a, sh.b, subject, theme FROM sh LEFT JOIN th USING (a, b) WHERE r = 1""",
-    "rename_chain": r"""WITH RECURSIVE st AS (SELECT o AS old_path, max(w) AS now FROM (SELECT regexp_replace(regexp_replace(replace(old_path, '\', '/'), '/+', '/', 'g'), '^\./', '') AS o, regexp_replace(regexp_replace(replace(new_path, '\', '/'), '/+', '/', 'g'), '^\./', '') AS w FROM commit_files) WHERE o <> w GROUP BY o),
-walk AS (SELECT old_path, now, 1 AS k FROM st UNION ALL SELECT walk.old_path, st.now, k + 1 FROM walk JOIN st ON walk.now = st.old_path WHERE k < 50 AND st.now <> walk.old_path)
-SELECT old_path, arg_max(now, k) AS now FROM walk GROUP BY old_path""",
+    "rename_chain": _RENAMES + "SELECT old_path, now FROM ends",
+    "history_over_renames": _RENAMES + r""", touched AS (SELECT DISTINCT sha, coalesce(now, path) AS node FROM (SELECT sha, regexp_replace(regexp_replace(replace(new_path, '\', '/'), '/+', '/', 'g'), '^\./', '') AS path FROM commit_files WHERE sha IS NOT NULL AND new_path IS NOT NULL) LEFT JOIN ends ON old_path = path),
+c AS (SELECT sha, min(date) AS date, min(subject) AS subject FROM commits WHERE sha IS NOT NULL GROUP BY sha)
+SELECT node, count(*) AS churn, min(date) AS first_changed, max(date) AS last_changed, sum(CASE WHEN regexp_matches(subject, '(?i)\b(fix(es|ed)?|bug(fix)?|hotfix|patch|revert)\b') THEN 1 ELSE 0 END)::BIGINT AS fix_touches FROM touched LEFT JOIN c USING (sha) GROUP BY node""",
     "enclosing_span": NOW + _SPANS + ", p AS (SELECT DISTINCT path, a AS line FROM spans), j AS (SELECT p.path, p.line, symbol, row_number() OVER (PARTITION BY p.path, p.line ORDER BY b - a, symbol) AS k FROM p JOIN spans s ON p.path = s.path AND p.line BETWEEN a AND b AND b > a) SELECT path, line, symbol FROM j WHERE k = 1",
     "interval_overlap": NOW + _SPANS + "SELECT x.symbol AS class_id, y.symbol AS method_id FROM spans x JOIN spans y ON x.path = y.path AND x.a <= y.b AND x.b >= y.a WHERE list_contains(x.tags, 'class') AND list_contains(y.tags, 'method')",
     "coverage_ratio": NOW + _SPANS + _LINES + _COV + "SELECT * FROM cov",

@@ -64,11 +64,11 @@ def _budget(s: SparkSession, d: str) -> DataFrame:
 
 
 def _endpoints(s: SparkSession, d: str) -> DataFrame:
-    return dm.endpoints(_docs(s, d).where("kind = 'api' AND source IS NOT NULL"), "doc_id", "source", "text", "`(?:GET|POST|PUT|DELETE|PATCH|HEAD) ([^`\\s]+)`")
+    return dm.endpoints(_docs(s, d).where("source IS NOT NULL"), "doc_id", "source", "text", "`(?:GET|POST|PUT|DELETE|PATCH|HEAD) ([^`\\s]+)`")
 
 
 def _headings(s: SparkSession, d: str) -> DataFrame:
-    return dm.decisions(_docs(s, d).where("kind <> 'code'"), "doc_id", "text", heading="(?i)context|decision|consequences|usage|adr-")
+    return dm.decisions(_docs(s, d), "doc_id", "text", heading="(?i)context|decision|consequences|usage|adr-")
 
 
 def _conventions_documents(s: SparkSession, d: str) -> DataFrame:
@@ -127,7 +127,7 @@ l AS (SELECT id, row_number() OVER (ORDER BY hits DESC, id) AS rank FROM hit QUA
 sub AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM n WHERE contains(lower(coalesce(name, '')), 'parse') OR contains(lower(coalesce(summary, '')), 'parse') OR contains(lower(coalesce(path, '')), 'parse') QUALIFY rank <= 30)
 """
 _DOC_LINES = "lines AS (SELECT doc_id, unnest(string_split(b, chr(10))) AS line, generate_subscripts(string_split(b, chr(10)), 1) AS n FROM (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS b FROM documents WHERE text IS NOT NULL{0}))"
-_EP = r"""WITH raw AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(text, '`(?:GET|POST|PUT|DELETE|PATCH|HEAD) ([^`\s]+)`', 1)) AS raw FROM documents WHERE kind = 'api' AND source IS NOT NULL AND text IS NOT NULL),
+_EP = r"""WITH raw AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(text, '`(?:GET|POST|PUT|DELETE|PATCH|HEAD) ([^`\s]+)`', 1)) AS raw FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
 c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, ':[A-Za-z_]\w*', ':p', 'g'), '\$\{[^}]+\}', ':p', 'g'), '\{[^}]+\}', ':p', 'g'), '/+$', '') AS p FROM raw),
 ep AS (SELECT DISTINCT doc_id, source, '/' || array_to_string(list_filter(string_split(p, '/'), lambda x: x <> ''), '/') AS endpoint FROM c WHERE len(list_filter(string_split(p, '/'), lambda x: x <> '')) >= 2 AND NOT regexp_matches(p, '\.(css|js|png|svg|ico|map|jpg|woff2?)$')),
 shared AS (SELECT endpoint FROM ep GROUP BY 1 HAVING count(DISTINCT source) >= 2)
@@ -155,7 +155,7 @@ QUERIES = {
     "endpoint_crosslink": lambda s, d: dm.endpoint_links(_endpoints(s, d), "doc_id", "source").select("source", "target"),
     "endpoint_projects": lambda s, d: dm.project_links(_endpoints(s, d), "source"),
     "headings_sections": lambda s, d: _headings(s, d).select("doc_id", "n", "heading", "slug"),
-    "conventions_firstn": lambda s, d: dm.conventions(_docs(s, d).where("kind = 'convention'"), "doc_id", "text").select("doc_id", "n", "convention"),
+    "conventions_firstn": lambda s, d: dm.conventions(_docs(s, d), "doc_id", "text").select("doc_id", "n", "convention"),
     "conventions_documents": _conventions_documents,
     "governs_substring": _governs,
     "governs_documents": _governs_documents,
@@ -164,7 +164,7 @@ QUERIES = {
     "content_hash": _hash,
     "locations_roles": _locations,
     "log_digest": lambda s, d: logs.findings(_docs(s, d), "doc_id", "text"),
-    "log_levels": lambda s, d: logs.level_report(_docs(s, d).where("kind = 'log'"), "doc_id", "text"),
+    "log_levels": lambda s, d: logs.level_report(_docs(s, d), "doc_id", "text"),
 }
 
 ORACLE = {
@@ -187,10 +187,10 @@ u AS (SELECT * FROM t WHERE length(token) >= 3 AND token NOT IN {tx.GENERIC} AND
 SELECT token, count(*) AS n, array_to_string(list_sort(list(DISTINCT short))[1:3], ', ') AS examples FROM u GROUP BY token HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT 12""",
     "endpoint_crosslink": _EP + "SELECT doc_id::VARCHAR AS source, 'endpoint:' || endpoint AS target FROM ep WHERE endpoint IN (SELECT endpoint FROM shared)",
     "endpoint_projects": _EP + ", p AS (SELECT DISTINCT source, endpoint FROM ep) SELECT a.source AS project_a, b.source AS project_b, count(*) AS shared FROM p a JOIN p b ON a.endpoint = b.endpoint AND a.source < b.source GROUP BY ALL",
-    "headings_sections": "WITH " + _DOC_LINES.format(" AND kind <> 'code'") + r""", h AS (SELECT doc_id, n, regexp_replace(trim(regexp_extract(line, '^(#{1,4})\s+(.*)', 2)), '\s*#*\s*$', '') AS heading FROM lines WHERE regexp_matches(line, '^#{1,4}\s')),
+    "headings_sections": "WITH " + _DOC_LINES.format("") + r""", h AS (SELECT doc_id, n, regexp_replace(trim(regexp_extract(line, '^(#{1,4})\s+(.*)', 2)), '\s*#*\s*$', '') AS heading FROM lines WHERE regexp_matches(line, '^#{1,4}\s')),
 x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM h WHERE regexp_matches(heading, '(?i)context|decision|consequences|usage|adr-'))
 SELECT doc_id, n::INT AS n, heading, coalesce(nullif(left(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50), ''), 'sec') AS slug FROM x WHERE k <= 25""",
-    "conventions_firstn": "WITH " + _DOC_LINES.format(" AND kind = 'convention'") + rf""", s AS (SELECT doc_id, n, trim(line) AS s FROM lines), x AS (SELECT doc_id, n, trim(regexp_replace(regexp_replace(s, '^([-*+]|[0-9]+\.)\s+', ''), '[`*_]', '', 'g')) AS c FROM s WHERE length(s) >= 15 AND NOT starts_with(s, '#') AND regexp_matches(s, '{dm.RULE.replace("'", "''")}')),
+    "conventions_firstn": "WITH " + _DOC_LINES.format("") + rf""", s AS (SELECT doc_id, n, trim(line) AS s FROM lines), x AS (SELECT doc_id, n, trim(regexp_replace(regexp_replace(s, '^([-*+]|[0-9]+\.)\s+', ''), '[`*_]', '', 'g')) AS c FROM s WHERE length(s) >= 15 AND NOT starts_with(s, '#') AND regexp_matches(s, '{dm.RULE.replace("'", "''")}')),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM x WHERE length(c) >= 15) SELECT doc_id, n::INT AS n, left(c, 200) AS convention FROM r WHERE k <= 40""",
     "conventions_documents": _conventions_sql(r" AND (path IS NULL OR regexp_matches(lower(path), '\.(md|markdown)$'))"),
     "governs_substring": NOW + r""", names AS (SELECT lower(split_part(path, '/', -1)) AS base, min(path) AS target FROM n WHERE type IN ('file', 'doc') AND path IS NOT NULL GROUP BY 1 HAVING length(base) >= 5),
@@ -203,5 +203,5 @@ x AS (SELECT DISTINCT entity, n.id FROM n JOIN g ON alias <> '' AND (contains(lo
 SELECT 'domain:' || entity AS source, id AS target FROM x QUALIFY row_number() OVER (PARTITION BY entity ORDER BY id) <= 60""",
     "content_hash": "SELECT doc_id, left(sha256(text), 16) AS hash, greatest(1, length(coalesce(text, '')) // 4)::BIGINT AS tokens FROM documents",
     "locations_roles": NOW + f"SELECT id, concat_ws(':', path, span_start::VARCHAR) AS location, {_ROLE} AS role FROM n",
-    "log_levels": "WITH " + _DOC_LINES.format(" AND kind = 'log'") + r", x AS (SELECT doc_id, n, regexp_extract(line, '^\S+ (DEBUG|INFO|WARN|ERROR|FATAL) ', 1) AS level FROM lines) SELECT doc_id, level, count(*) AS n, min(n)::INT AS first_line FROM x WHERE level <> '' GROUP BY ALL",
+    "log_levels": "WITH " + _DOC_LINES.format("") + r", x AS (SELECT doc_id, n, regexp_extract(line, '^\S+ (DEBUG|INFO|WARN|ERROR|FATAL) ', 1) AS level FROM lines) SELECT doc_id, level, count(*) AS n, min(n)::INT AS first_line FROM x WHERE level <> '' GROUP BY ALL",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weft.functions.scalar import content_hash
@@ -9,7 +12,7 @@ from weft.functions.scalar import content_hash
 # Folders that are not read, and the language of each file ending.
 EXCLUDED = (
     "node_modules", ".git", "venv", ".venv", "__pycache__", "dist", "build", "worktrees", "public", "logs", "data", "temp", "coverage", "assets", ".pytest_cache",
-    ".next", ".nuxt", ".svelte-kit", ".output", ".turbo", ".astro", ".vercel", ".netlify", ".angular", ".expo", ".parcel-cache", ".docusaurus", ".cache", "storybook-static",
+    ".claude", "documentacion", ".next", ".nuxt", ".svelte-kit", ".output", ".turbo", ".astro", ".vercel", ".netlify", ".angular", ".expo", ".parcel-cache", ".docusaurus", ".cache", "storybook-static",
 )
 LANGUAGES = {
     ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".py": "python", ".go": "go", ".java": "java", ".rs": "rust",
@@ -105,14 +108,30 @@ def cobertura(reports: DataFrame, text: str = "text") -> DataFrame:
 
 
 def junit(reports: DataFrame, text: str = "text") -> DataFrame:
-    """(file, classname, name, status, pos) from JUnit reports, one document a row: passed, failed, error or skipped."""
-    schema = "testsuite ARRAY<STRUCT<testcase: ARRAY<STRUCT<_file: STRING, _classname: STRING, _name: STRING, failure: ARRAY<STRING>, error: ARRAY<STRING>, skipped: ARRAY<STRING>>>>>, testcase ARRAY<STRUCT<_file: STRING, _classname: STRING, _name: STRING, failure: ARRAY<STRING>, error: ARRAY<STRING>, skipped: ARRAY<STRING>>>"
-    x = reports.select(F.from_xml(F.col(text), schema).alias("x"))
-    cases = F.concat(F.coalesce(F.flatten(F.filter(F.transform("x.testsuite", lambda s: s["testcase"]), lambda c: c.isNotNull())), F.array()), F.coalesce("x.testcase", F.array()))
-    c = x.select(F.posexplode(cases).alias("pos", "c"))
-    has = lambda tag: F.size(F.coalesce(F.col(f"c.{tag}"), F.array().cast("array<string>"))) > 0
-    state = F.when(has("skipped"), "skipped").when(has("error"), "error").when(has("failure"), "failed").otherwise("passed")
-    return c.select(F.col("c._file").alias("file"), F.col("c._classname").alias("classname"), F.col("c._name").alias("name"), state.alias("status"), "pos")
+    """(file, classname, name, status, pos) from JUnit reports, one document a row: passed, failed, error or skipped.
+
+    Suites may lie inside suites. The last child of a case that tells a status decides. ``pos`` grows over the cases of a
+    report and over the reports in their order, so that of several runs of one case the last can be told. A text that is no
+    XML, or null, gives nothing."""
+    from xml.etree import ElementTree
+
+    told = {"failure": "failed", "error": "error", "skipped": "skipped"}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for report, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    root = ElementTree.fromstring(t or "")
+                except ElementTree.ParseError:
+                    continue
+                for n, case in enumerate(root.iter("testcase")):
+                    status = [told[child.tag] for child in case if child.tag in told]
+                    rows.append((case.get("file"), case.get("classname"), case.get("name"), status[-1] if status else "passed", report, n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((*[pa.string()] * 4, pa.int64(), pa.int64()))], ["file", "classname", "name", "status", "report", "n"])
+
+    cases = reports.select(F.monotonically_increasing_id(), F.col(text).cast("string")).mapInArrow(read, "file string, classname string, name string, status string, report bigint, n bigint")
+    return cases.select("file", "classname", "name", "status", (F.col("report").cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("n")).alias("pos"))
 
 
 def coverage_contexts(reports: DataFrame, text: str = "text") -> DataFrame:
