@@ -45,6 +45,17 @@ def test_cooccurrence_brute_force(spark):
     assert {(r.item_a, r.item_b): r.together for r in out.collect()} == dict(want)
 
 
+def test_large_baskets(spark, monkeypatch):
+    """Baskets dealt out into several arrays give the same pairs as one array."""
+    rng = random.Random(7)
+    data = [(f"s{k}", f"i{rng.randint(0, 60):02d}") for k, n in enumerate((2, 5, 40, 90, 1)) for _ in range(n)]
+    df = spark.createDataFrame(data, "s string, i string")
+    run = lambda: rows(cooccur.co_occurrence(cooccur.baskets(df, F.col("s"), F.col("i"), None)), "item_a", "item_b", "together", "n_a", "n_b")
+    whole = run()
+    monkeypatch.setattr(cooccur, "ARRAY_ITEMS", 4)
+    assert run() == whole and len(whole) > 500 and all(r[0] < r[1] for r in whole)
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("a\\b//c",), ("./a",), (".//a",), ("../a",), (None,), (".git/x",)], "p string")
     assert [r[0] for r in df.select(cooccur.tidy_path(F.col("p"))).collect()] == ["a/b/c", "a", "a", "../a", None, ".git/x"]
@@ -379,6 +390,9 @@ def test_groups(spark, monkeypatch):
     out = packing.pack(df, "k", "n", 100, 1000)
     used = out.groupBy("container").agg(F.sum("size").alias("s"), F.count("*").alias("c")).collect()
     assert max(r.s for r in used) <= 100 and sum(r.c for r in used) == 1000 and len(used) <= sum(i % 37 for i in range(1000)) / 100 * 1.12
+    # Each group leaves one container with a tenth in it; these are put together.
+    tenth = packing.pack(spark.range(1000).selectExpr("id AS k", "if(id % 50 = 0, 10, 0) AS n"), "k", "n", 100, 1000).groupBy("container").agg(F.sum("size").alias("s")).collect()
+    assert sum(r.s for r in tenth) == 200 and len([r for r in tenth if 0 < r.s <= 50]) <= 1 and max(r.s for r in tenth) <= 100
 
 
 # ---- leakage
@@ -398,6 +412,18 @@ def test_leakage(spark):
     assert leakage.search(leakage.build_index(d.limit(0), "doc_id", "text"), i, "item_id", "text").count() == 0
 
 
+def test_stored_index(spark, tmp_path):
+    """An index that was saved is searched again, for other items, without the texts; a version is never overwritten."""
+    import pytest
+
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "c d e"), (3, None)], "d long, t string")
+    path = leakage.save_index(leakage.build_index(docs, "d", "t"), str(tmp_path), "1")
+    items = spark.createDataFrame([(7, "c d e"), (8, "e d")], "i long, t string")
+    assert rows(leakage.search(spark.read.parquet(path), items, "i", "t", length=3), "item_id", "doc_id") == [(7, 1), (7, 2)]
+    with pytest.raises(Exception, match="(?i)exist"):
+        leakage.save_index(leakage.build_index(docs, "d", "t"), str(tmp_path), "1")
+
+
 def test_segments(spark, monkeypatch):
     """Many small segments and blocks find the same as one."""
     rng = random.Random(2)

@@ -15,8 +15,8 @@ from weft.session import cut
 
 #: Words in one segment of the index, about; a segment is what a worker holds at a time.
 SEGMENT_WORDS = 2_000_000
-#: Items that one pass over the index looks for.
-BLOCK_ITEMS = 20_000
+#: Items, and words of items, that one pass over the index looks for.
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _INDEX = "doc_ids array<bigint>, doc_starts array<bigint>, terms array<string>, offsets binary, positions binary"
@@ -88,17 +88,18 @@ class Segment:
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.offsets[term]:self.offsets[term + 1]]
 
-    def phrase(self, terms: np.ndarray) -> np.ndarray:
-        """Where the terms stand one behind the other: the offset-adjusted lists intersected from the rarest on."""
+    def phrase(self, terms: np.ndarray) -> tuple[np.ndarray, int]:
+        """Where the terms stand one behind the other: the offset-adjusted lists intersected from the rarest on. If they do
+        nowhere, also the first of the terms that were looked at by then: no window with these holds either."""
         by_count = np.argsort(self.offsets[terms + 1] - self.offsets[terms], kind="stable")
         found = self.postings(terms[by_count[0]]) - by_count[0]
-        for k in by_count[1:]:
-            if not len(found):
-                break
+        for n, k in enumerate(by_count[1:], 1):
             other = self.postings(terms[k])
             at = np.searchsorted(other, found + k)
             found = found[other[np.minimum(at, len(other) - 1)] == found + k]
-        return found
+            if not len(found):
+                return found, int(by_count[:n + 1].min())
+        return found, 0
 
     def near(self, terms: np.ndarray, span: int) -> np.ndarray:
         """Where the rarest term stands with every other term at most ``span`` words away in the same document."""
@@ -121,18 +122,31 @@ class Segment:
         return np.searchsorted(self.starts, positions, "right") - 1
 
 
-def _blocks(items: DataFrame, key: str, text: str, length: int) -> Iterator[dict[tuple[str, ...], list[int]]]:
-    """Windows of words with the items they come from, for some items at a time."""
-    windows: dict[tuple[str, ...], list[int]] = {}
-    for n, row in enumerate(items.select(F.col(key).cast("bigint"), text).where(F.col(key).isNotNull()).toLocalIterator(), 1):
-        found = words(row[1])
-        for i in range(max(1, len(found) - length + 1) if found else 0):
-            windows.setdefault(tuple(found[i:i + length]), []).append(row[0])
-        if n % BLOCK_ITEMS == 0 and windows:
-            yield windows
-            windows = {}
-    if windows:
-        yield windows
+def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
+    """The items with their words, for some at a time; the texts are taken apart in the workers."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([words(t) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["item_id", "words"])
+
+    block, size = [], 0
+    given = items.select(F.col(key).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    for row in given.mapInArrow(split, "item_id bigint, words array<string>").toLocalIterator():
+        if row[1]:
+            block.append((row[0], row[1]))
+            size += len(row[1])
+        if len(block) >= BLOCK_ITEMS or size >= BLOCK_WORDS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def save_index(index: DataFrame, folder: str, version: str) -> str:
+    """Keep an index beyond the application, as a new version beside older ones; the folder it lies in."""
+    path = f"{folder.rstrip('/')}/index-{version}"
+    index.write.mode("errorifexists").parquet(path)
+    return path
 
 
 def search(index: DataFrame, items: DataFrame, key: str, text: str, length: int = 12, near: int | None = None) -> DataFrame:
@@ -140,32 +154,39 @@ def search(index: DataFrame, items: DataFrame, key: str, text: str, length: int
     words in sequence if it has fewer (kind 'phrase'); with ``near`` also those where all words of such a window
     stand within ``near`` words of its rarest word, in any order (kind 'near').
 
-    The items are a stated query set: ``BLOCK_ITEMS`` of them at a time are sent to the workers, and every block is
-    searched in the whole index. Items without words match nothing. n_windows counts the windows of the item found in
+    The items are a stated query set: ``BLOCK_ITEMS`` of them or ``BLOCK_WORDS`` words at a time are sent to the workers, and
+    every block is searched in the whole index. Items without words match nothing. n_windows counts the windows of the item found in
     the document. Repeated items and documents come out once with the greatest count."""
 
-    def job(windows: dict[tuple[str, ...], list[int]]):
+    def job(block: list[tuple[int, list[str]]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in b.to_pylist():
-                    seg, hits = Segment(row), defaultdict(set)
-                    for n, (window, owners) in enumerate(windows.items()):
-                        terms = [seg.ids.get(w, -1) for w in window]
-                        if min(terms) < 0:
-                            continue
-                        terms = np.asarray(terms)
-                        kinds = [("phrase", seg.phrase(terms))] + ([("near", seg.near(terms, near))] if near else [])
-                        for kind, at in kinds:
+                    seg, hits = Segment(row), defaultdict(int)
+                    for item, found in block:
+                        ids = np.fromiter((seg.ids.get(w, -1) for w in found), np.int64, len(found))
+                        size = min(length, len(found))
+                        unknown = np.flatnonzero(ids < 0)
+                        i, last = 0, len(found) - size
+                        while i <= last:
+                            gap = np.searchsorted(unknown, i)
+                            if gap < len(unknown) and unknown[gap] < i + size:
+                                i = int(unknown[gap]) + 1
+                                continue
+                            at, first = seg.phrase(ids[i:i + size])
                             for doc in np.unique(seg.docs(at)).tolist() if len(at) else ():
-                                for item in owners:
-                                    hits[item, int(seg.doc_ids[doc]), kind].add(n)
+                                hits[item, int(seg.doc_ids[doc]), "phrase"] += 1
+                            if near:
+                                for doc in np.unique(seg.docs(seg.near(ids[i:i + size], near))).tolist():
+                                    hits[item, int(seg.doc_ids[doc]), "near"] += 1
+                            i += 1 if len(at) or near else first + 1
                     if hits:
                         keys = list(hits)
-                        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys]), pa.array([len(hits[k]) for k in keys], pa.int64())], ["item_id", "doc_id", "kind", "n_windows"])
+                        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys]), pa.array(list(hits.values()), pa.int64())], ["item_id", "doc_id", "kind", "n_windows"])
         return run
 
     schema = "item_id bigint, doc_id bigint, kind string, n_windows bigint"
-    parts = [index.mapInArrow(job(w), schema) for w in _blocks(items, key, text, length)]
+    parts = [index.mapInArrow(job(block), schema) for block in _blocks(items, key, text)]
     if not parts:
         return index.sparkSession.createDataFrame([], schema)
     out = parts[0]

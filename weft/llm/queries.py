@@ -14,7 +14,7 @@ def _package(path):
 
 def _p2(spark: SparkSession, d: str) -> DataFrame:
     rows = cooccur.baskets(table(spark, d, "commit_files"), F.col("sha"), cooccur.tidy_path(F.col("new_path")), 25)
-    return cooccur.co_occurrence(rows, _package(F.col("item")), min_together=4)
+    return cooccur.co_occurrence(rows, _package(F.col("item")), min_together=4, largest=25)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +46,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("z IS NOT NULL").select(F.col("id").alias("node_id"), "term")
 
 
+def p4_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of the terms of p4_found."""
+    fields = ["name", "summary", "signature"]
+    nodes = distinctive.latest(table(spark, d, "nodes"), "id", "updated_at", fields)
+    found = distinctive.log_odds(nodes, "id", fields, min_tf=2, min_df=2, max_df=8)
+    return found.select(F.col("id").alias("node_id"), "term", "tf", "df", F.round("z", 6).alias("z"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of nodes with a cosine of at least 0.9 of which one is among the five most similar of the other."""
     vectors = table(spark, d, "node_vectors").where("embedder = 'dense-64'")
@@ -74,6 +82,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.search(index, table(spark, d, "eval_items"), "item_id", "text").select("item_id", "doc_id")
 
 
+#: Words around the rarest word of a window in which the others must stand for p9_near.
+NEAR = 24
+
+
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with all words of a window of 12 of an evaluation item near its rarest word, in any order."""
+    index = leakage.build_index(table(spark, d, "documents"), "doc_id", "text")
+    return leakage.search(index, table(spark, d, "eval_items"), "item_id", "text", near=NEAR).where("kind = 'near'").select("item_id", "doc_id", "n_windows")
+
+
+def p3_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What tells each path of p3_found: headers, names and layout, or the hashes."""
+    return handwritten.not_handwritten(table(spark, d, "sources")).where("generated OR minified OR vendored OR data")
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of each text above 512 tokens."""
     return chunking.split_texts(table(spark, d, "documents"), "doc_id", "text", PIECE, OVERLAP)
@@ -94,7 +117,6 @@ spaced AS (SELECT id, regexp_replace(concat_ws(' ', r.a, r.b, r.c), '([\p{Ll}\p{
 pieces AS (SELECT id, lower(unnest(regexp_split_to_array(text, '[^\p{L}\p{Nd}]+'))) AS term FROM spaced),
 tf AS (SELECT id, term, count(*) AS tf FROM pieces WHERE length(term) >= 3 AND NOT regexp_full_match(term, '\p{Nd}+') GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
-SELECT id AS node_id, term FROM tf JOIN df USING (term) WHERE tf >= 2 AND df BETWEEN 2 AND 8
 """
 
 _P6_SQL = """
@@ -104,7 +126,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FR
 SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b FROM best WHERE n <= 5 AND s >= 0.9
 """
 
-QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_pieces": p10_pieces}
 
 ORACLE = {
     "p2_found": _P2_SQL + "SELECT path_a, path_b FROM pairs WHERE c * n >= 3 * na * nb",
@@ -112,6 +134,9 @@ ORACLE = {
 churn AS (SELECT node_id, max(churn) AS churn FROM git_node GROUP BY node_id)
 SELECT path_a AS item_a, path_b AS item_b, c AS together, na AS n_a, nb AS n_b, n AS n_baskets, round(log2(c * n / (na * nb)), 6) AS pmi, edge_confidence, x.churn AS churn_a, y.churn AS churn_b
 FROM pairs LEFT JOIN conf ON source = path_a AND target = path_b LEFT JOIN churn x ON x.node_id = path_a LEFT JOIN churn y ON y.node_id = path_b""",
-    "p4_found": _P4_SQL,
+    "p4_found": _P4_SQL + "SELECT id AS node_id, term FROM tf JOIN df USING (term) WHERE tf >= 2 AND df BETWEEN 2 AND 8",
+    "p4_scores": _P4_SQL + """, c AS (SELECT term, sum(tf)::DOUBLE AS cf FROM tf GROUP BY term), n AS (SELECT id, sum(tf)::DOUBLE AS n FROM tf GROUP BY id), a AS (SELECT sum(tf)::DOUBLE AS total FROM tf),
+v AS (SELECT id, term, tf, df, n, total, cf - tf AS rest, cf * 1000 / total AS alpha FROM tf JOIN df USING (term) JOIN c USING (term) JOIN n USING (id), a WHERE tf >= 2 AND df BETWEEN 2 AND 8)
+SELECT id AS node_id, term, tf, df, round((ln((tf + alpha) / (n + 1000 - tf - alpha)) - ln((rest + alpha) / (total - n + 1000 - rest - alpha))) / sqrt(1 / (tf + alpha) + 1 / (rest + alpha)), 6) AS z FROM v""",
     "p6_found": _P6_SQL,
 }
