@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weft.llm import tokens
+from weft.session import cut
 
 #: Items packed together. More make the last open containers of a group matter less; one group is one task's work.
 GROUP_ITEMS = 65_536
@@ -78,7 +79,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int, n_rows: int) -> D
     An item larger than ``capacity`` is split into full containers and a rest; every other item is whole. Items are
     spread by a hash of the key over groups of about ``GROUP_ITEMS`` (from ``n_rows``, any upper estimate), each
     group is taken in decreasing size, and every item goes to the open container with the least room that holds it.
-    Containers never mix groups, so that what a group leaves open is all that is lost against one global packing.
+    What a group leaves at most half full, one container at most, is then put together with that of the other groups.
 
     A null size gives one row with a null container; a size of 0 takes no room; a negative size is an error of the
     caller and counts as 0. Ties are broken by key, so the result is the same on every run. Repeated rows are
@@ -104,4 +105,28 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int, n_rows: int) -> D
 
     kind = sizes.schema[key].dataType.simpleString()
     done = laid.mapInArrow(fill, f"key {kind}, piece int, start bigint, size bigint, container bigint")
+    if groups > 1:
+        done = cut(done)
+        moved = _merged(done, capacity, groups).select(F.col("container").alias("__from"), F.col("into").alias("__into"))
+        done = done.join(moved, F.col("container") == F.col("__from"), "left").select("key", "piece", "start", "size", F.coalesce("__into", "container").alias("container"))
     return done.withColumnRenamed("key", key)
+
+
+def _merged(done: DataFrame, capacity: int, groups: int) -> DataFrame:
+    """(container, into): the containers that are at most half full, of which a group leaves one at most, put together by the
+    same rule."""
+    half = done.where("container IS NOT NULL").groupBy("container").agg(F.sum("size").alias("size")).where(F.col("size") * 2 <= capacity)
+    many = max(1, -(-groups // GROUP_ITEMS))
+    laid = half.withColumn("grp", F.pmod(F.xxhash64("container"), F.lit(many))).repartition("grp").sortWithinPartitions("grp", F.desc("size"), "container")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bins, names = None, None, {}
+        for b in batches:
+            out = []
+            for group, n, container in zip(b.column("grp").to_pylist(), b.column("size").to_pylist(), b.column("container").to_pylist()):
+                if group != at:
+                    at, bins, names = group, OpenBins(capacity), {}
+                out.append(names.setdefault(bins.put(n), container))
+            yield pa.RecordBatch.from_arrays([b.column("container"), pa.array(out, pa.int64())], ["container", "into"])
+
+    return laid.mapInArrow(fill, "container bigint, into bigint")
