@@ -302,3 +302,34 @@ def test_history_goes_on_over_renames(spark):
     followed = temporal.follow_renames(touched, targets)
     assert rows(followed, "sha", "node") == [("s1", "f40"), ("s2", "f40"), ("s3", "other")]
     assert rows(temporal.churns(followed), "node", "churn") == [("f40", 2), ("other", 1)]
+
+
+def test_stored_index(spark, tmp_path):
+    """An index that was refreshed, with nodes new, changed, gone and unchanged, ranks as one that was built anew."""
+    from weft.operators import retrieval, text as tx
+
+    def made(rows_):
+        return spark.createDataFrame([(i, "symbol", n, "p", None, None, None, s, None, [], None, None) for i, n, s in rows_], model.NODES)
+
+    before = made([("a", "parseOrder", "parses an order"), ("b", "queueOrder", None), ("c", "gone", "parse parse"), (None, "parse", None)])
+    after = made([("a", "parseOrder", "parses an order"), ("b", "queueOrder", "now parse it"), ("d", "order", "new"), ("e", None, None), ("a", "parseOrder", "parses an order")])
+    root = str(tmp_path)
+    one = retrieval.refresh_index(before, root + "/1")
+    two = retrieval.refresh_index(after, root + "/2", one)
+    new = retrieval.refresh_index(after, root + "/3")
+    ask = lambda folder: [(r.id, round(r.score, 9)) for r in retrieval.search_index(spark, folder, "parse the order nowhere", 10).collect()]
+    assert ask(two) == ask(new) and {i for i, _ in ask(two)} == {"a", "b", "d"} and {i for i, _ in ask(one)} == {"a", "b", "c"}
+    q = tx.term_counts(spark.createDataFrame([(0, "parse the order nowhere")], "q int, text string"), "q", "text")
+    texts = after.dropDuplicates(["id"]).select("id", tx.node_text(after).alias("text"))
+    plain = tx.rank_by_query(tx.term_counts(texts, "id", "text"), F.lit(4), "id", q, 10)
+    assert [(r.id, round(r.score, 9)) for r in plain.collect()] == ask(two)
+    assert retrieval.search_index(spark, two, "").count() == 0
+    plan = retrieval.search_index(spark, two, "parse")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_commit_watermark(spark):
+    commits = spark.createDataFrame([("p", "a", 1), ("p", "b", 2), ("p", "b", 2), ("p", "c", 3), ("q", "x", 1), ("q", "y", 2), ("r", "z", 1), (None, "n", 1), ("p", None, 9)], "project string, sha string, seq long")
+    heads = spark.createDataFrame([("p", "b"), ("q", "lost"), ("s", "none")], "project string, sha string")
+    assert rows(temporal.commits_since(commits, heads), "project", "sha", "rebuilt") == [("p", "c", False), ("q", "x", True), ("q", "y", True), ("r", "z", True)]
+    assert temporal.commits_since(commits.limit(0), heads).count() == 0

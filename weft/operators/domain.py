@@ -48,6 +48,12 @@ def conventions(docs: DataFrame, key: str, text: str, rule: str = RULE, limit: i
     return lines.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("n"))).where(F.col("r") <= limit).select(key, "n", F.substring("convention", 1, 200).alias("convention"))
 
 
+def relates_to(found: DataFrame, key: str, kind: str, place: Column) -> DataFrame:
+    """Edges from each decision (0.8) or convention (0.7) of a document to the document; ``place`` tells it apart there."""
+    sure = {"decision": 0.8, "convention": 0.7}[kind]
+    return found.select(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"), F.lit("#" if kind == "decision" else ":"), place.cast("string")).alias("source"), F.concat(F.lit("doc:"), F.col(key).cast("string")).alias("target"), F.lit("relates_to").alias("type"), F.lit(sure).alias("confidence")).distinct()
+
+
 def governs(texts: DataFrame, key: str, text: str, files: DataFrame, shortest: int = 5) -> DataFrame:
     """Edges from a text to the file whose name it mentions (0.6), one file for each name, the least.
 

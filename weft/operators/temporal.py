@@ -62,6 +62,19 @@ def touches(commit_files: DataFrame, path: Column) -> DataFrame:
     return commit_files.select("sha", path.alias("node")).where("sha IS NOT NULL AND node IS NOT NULL").distinct()
 
 
+def commits_since(commits: DataFrame, heads: DataFrame) -> DataFrame:
+    """(project, sha, seq, rebuilt): the commits that are newer than the last processed one of their project.
+
+    ``heads`` has project and sha. If the sha is no longer among the commits of its project, history was rewritten: all of
+    the project's commits come out, with ``rebuilt`` true, and what was counted before must be dropped. So it is for a project
+    without a head. Order is that of ``seq``; repeated rows are one, and rows without project or sha are left out."""
+    c = commits.where("project IS NOT NULL AND sha IS NOT NULL").groupBy("project", "sha").agg(F.max("seq").alias("seq"))
+    h = heads.where("project IS NOT NULL AND sha IS NOT NULL").select("project", "sha").distinct()
+    known = c.join(h, ["project", "sha"]).groupBy("project").agg(F.max("seq").alias("__at"), F.lit(True).alias("__known"))
+    j = c.join(known, "project", "left")
+    return j.where("__known IS NULL OR seq > __at").select("project", "sha", "seq", F.col("__known").isNull().alias("rebuilt"))
+
+
 def follow_renames(touched: DataFrame, targets: DataFrame) -> DataFrame:
     """(sha, node): what was touched under an old path counts for the path it has now (``targets``: old_path, now), so that
     churn, authors and co-change go on over renames."""

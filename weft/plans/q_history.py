@@ -85,6 +85,13 @@ def _renames(s: SparkSession, d: str) -> DataFrame:
     return t.rename_targets(f.select(tidy(F.col("old_path")).alias("old_path"), tidy(F.col("new_path")).alias("new_path")))
 
 
+def _commits_since(s: SparkSession, d: str) -> DataFrame:
+    """Commits newer than the last one before April 2025 of each project; those of projects whose name ends in b have lost it."""
+    c = table(s, d, "commits")
+    heads = c.where("date < '2025-04-01' AND sha IS NOT NULL").groupBy("project").agg(F.max(F.struct("seq", "sha")).alias("h")).select("project", F.when(F.col("project").endswith("b"), "gone").otherwise(F.col("h.sha")).alias("sha"))
+    return t.commits_since(c, heads)
+
+
 def _history_over_renames(s: SparkSession, d: str) -> DataFrame:
     """Churn, dates and fixes of each path with what was done under its former names."""
     touched = t.follow_renames(t.touches(table(s, d, "commit_files"), tidy(F.col("new_path"))), _renames(s, d))
@@ -197,6 +204,7 @@ QUERIES = {
     "cochange_theme": _themes,
     "rename_chain": _renames,
     "history_over_renames": _history_over_renames,
+    "commits_since": _commits_since,
     "enclosing_span": _enclosing,
     "interval_overlap": _overlap,
     "coverage_ratio": lambda s, d: r.coverage(_lines(s, d), r.spans(nodes(s, d))),
@@ -238,6 +246,10 @@ SELECT sh.a, sh.b, subject, theme FROM sh LEFT JOIN th USING (a, b) WHERE r = 1"
     "history_over_renames": _RENAMES + r""", touched AS (SELECT DISTINCT sha, coalesce(now, path) AS node FROM (SELECT sha, regexp_replace(regexp_replace(replace(new_path, '\', '/'), '/+', '/', 'g'), '^\./', '') AS path FROM commit_files WHERE sha IS NOT NULL AND new_path IS NOT NULL) LEFT JOIN ends ON old_path = path),
 c AS (SELECT sha, min(date) AS date, min(subject) AS subject FROM commits WHERE sha IS NOT NULL GROUP BY sha)
 SELECT node, count(*) AS churn, min(date) AS first_changed, max(date) AS last_changed, sum(CASE WHEN regexp_matches(subject, '(?i)\b(fix(es|ed)?|bug(fix)?|hotfix|patch|revert)\b') THEN 1 ELSE 0 END)::BIGINT AS fix_touches FROM touched LEFT JOIN c USING (sha) GROUP BY node""",
+    "commits_since": """WITH c AS (SELECT project, sha, max(seq) AS seq FROM commits WHERE project IS NOT NULL AND sha IS NOT NULL GROUP BY ALL),
+h AS (SELECT project, CASE WHEN project LIKE '%b' THEN 'gone' ELSE max(struct_pack(s := seq, h := sha)).h END AS sha FROM commits WHERE date < DATE '2025-04-01' AND sha IS NOT NULL GROUP BY project),
+k AS (SELECT project, max(seq) AS at FROM c JOIN h USING (project, sha) GROUP BY project)
+SELECT c.project, c.sha, c.seq, k.project IS NULL AS rebuilt FROM c LEFT JOIN k ON c.project = k.project WHERE k.project IS NULL OR c.seq > k.at""",
     "enclosing_span": NOW + _SPANS + ", p AS (SELECT DISTINCT path, a AS line FROM spans), j AS (SELECT p.path, p.line, symbol, row_number() OVER (PARTITION BY p.path, p.line ORDER BY b - a, symbol) AS k FROM p JOIN spans s ON p.path = s.path AND p.line BETWEEN a AND b AND b > a) SELECT path, line, symbol FROM j WHERE k = 1",
     "interval_overlap": NOW + _SPANS + "SELECT x.symbol AS class_id, y.symbol AS method_id FROM spans x JOIN spans y ON x.path = y.path AND x.a <= y.b AND x.b >= y.a WHERE list_contains(x.tags, 'class') AND list_contains(y.tags, 'method')",
     "coverage_ratio": NOW + _SPANS + _LINES + _COV + "SELECT * FROM cov",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.functions import scalar as f
-from weft.operators import domain as dm, logs, text as tx
+from weft.operators import domain as dm, logs, retrieval as rt, text as tx
 from weft.plans.q_graph import NOW, edges, nodes
-from weft.session import table
+from weft.session import shared_folder, table
 
 #: What the search queries look for.
 QUERY, LEXICAL = "parse registry token for the order queue", "pars qu"
@@ -35,6 +37,13 @@ def _cosine(s: SparkSession, d: str) -> DataFrame:
     return tx.rank_by_query(_terms(s, d), _count(nodes(s, d)), "id", q).select("id", F.round("score", 6).alias("score"))
 
 
+def _stored_search(s: SparkSession, d: str) -> DataFrame:
+    """The same ranking from an index that is stored first and refreshed once."""
+    folder = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    rt.refresh_index(nodes(s, d).where("type <> 'file'"), folder + "/1")
+    return rt.search_index(s, rt.refresh_index(nodes(s, d), folder + "/2", folder + "/1"), QUERY).select("id", F.round("score", 6).alias("score"))
+
+
 def _dense(s: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 50, against all vectors."""
     v = table(s, d, "embeddings")
@@ -145,6 +154,7 @@ QUERIES = {
     "tokenize_terms": _terms,
     "tfidf_idf": _idf,
     "tfidf_cosine": _cosine,
+    "stored_search": _stored_search,
     "semantic_rank_dense": _dense,
     "lexical_prefix_and": lambda s, d: tx.lexical(nodes(s, d), LEXICAL),
     "hybrid_rrf": _rrf,
@@ -155,6 +165,7 @@ QUERIES = {
     "endpoint_crosslink": lambda s, d: dm.endpoint_links(_endpoints(s, d), "doc_id", "source").select("source", "target"),
     "endpoint_projects": lambda s, d: dm.project_links(_endpoints(s, d), "source"),
     "headings_sections": lambda s, d: _headings(s, d).select("doc_id", "n", "heading", "slug"),
+    "conventions_relate": lambda s, d: dm.relates_to(dm.conventions(_docs(s, d), "doc_id", "text"), "doc_id", "convention", F.col("n")),
     "conventions_firstn": lambda s, d: dm.conventions(_docs(s, d), "doc_id", "text").select("doc_id", "n", "convention"),
     "conventions_documents": _conventions_documents,
     "governs_substring": _governs,
@@ -170,6 +181,7 @@ QUERIES = {
 ORACLE = {
     "tokenize_terms": NOW + _TOKENS.format(_TEXT, "n") + "SELECT * FROM tf WHERE tf > 0",
     "tfidf_idf": NOW + _TOKENS.format(_TEXT, "n") + _IDF + "SELECT token, df, round(idf, 6) AS idf FROM df",
+    "stored_search": _cosine_sql(QUERY) + "SELECT id, round(score, 6) AS score FROM cosine",
     "tfidf_cosine": _cosine_sql(QUERY) + "SELECT id, round(score, 6) AS score FROM cosine",
     "semantic_rank_dense": """WITH x AS (SELECT q.vec_id AS query, r.vec_id, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings r ON q.vec_id % 50 = 0)
 SELECT query, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM x) WHERE rank <= 10""",
@@ -192,6 +204,8 @@ x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM h W
 SELECT doc_id, n::INT AS n, heading, coalesce(nullif(left(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50), ''), 'sec') AS slug FROM x WHERE k <= 25""",
     "conventions_firstn": "WITH " + _DOC_LINES.format("") + rf""", s AS (SELECT doc_id, n, trim(line) AS s FROM lines), x AS (SELECT doc_id, n, trim(regexp_replace(regexp_replace(s, '^([-*+]|[0-9]+\.)\s+', ''), '[`*_]', '', 'g')) AS c FROM s WHERE length(s) >= 15 AND NOT starts_with(s, '#') AND regexp_matches(s, '{dm.RULE.replace("'", "''")}')),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM x WHERE length(c) >= 15) SELECT doc_id, n::INT AS n, left(c, 200) AS convention FROM r WHERE k <= 40""",
+    "conventions_relate": "WITH " + _DOC_LINES.format("") + rf""", s AS (SELECT doc_id, n, trim(line) AS s FROM lines), x AS (SELECT doc_id, n, trim(regexp_replace(regexp_replace(s, '^([-*+]|[0-9]+\.)\s+', ''), '[`*_]', '', 'g')) AS c FROM s WHERE length(s) >= 15 AND NOT starts_with(s, '#') AND regexp_matches(s, '{dm.RULE.replace("'", "''")}')),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM x WHERE length(c) >= 15) SELECT DISTINCT 'convention:' || doc_id || ':' || n AS source, 'doc:' || doc_id AS target, 'relates_to' AS type, 0.7::DOUBLE AS confidence FROM r WHERE k <= 40""",
     "conventions_documents": _conventions_sql(r" AND (path IS NULL OR regexp_matches(lower(path), '\.(md|markdown)$'))"),
     "governs_substring": NOW + r""", names AS (SELECT lower(split_part(path, '/', -1)) AS base, min(path) AS target FROM n WHERE type IN ('file', 'doc') AND path IS NOT NULL GROUP BY 1 HAVING length(base) >= 5),
 w AS (SELECT DISTINCT id AS source, unnest(regexp_extract_all(lower(concat_ws(' ', name, summary, path)), '[\w\-.]+\.\w+')) AS base FROM n WHERE type IN ('decision', 'convention', 'doc'))

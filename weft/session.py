@@ -17,6 +17,7 @@ def local_session(cpus: int | str = 8, name: str = "weft", **conf: str) -> Spark
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="weft-wh-"),
@@ -54,6 +55,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir where the session names one; a folder of our own
     only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"weft-checkpoint-{os.getuid()}")
     if not spark.sparkContext.getCheckpointDir():
