@@ -20,7 +20,7 @@ from weft.session import cut
 
 TABLES, PROBES, TURNS, SEED = 6, 2, 4, 20
 #: Most vectors in a bucket, and about how many one task compares at a time.
-BUCKET, PART_ROWS = 512, 32_768
+BUCKET, PART_ROWS = 1024, 32_768
 #: Vectors, about, from which the bounds of the parts are taken.
 SAMPLE_ROWS = 100_000
 #: Vectors of one code with a cosine this near to 1 all have 1.000000 with each other.
