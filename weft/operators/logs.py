@@ -14,6 +14,8 @@ WEB_FILES = (*TS_FILES, "vue", "svelte")
 CODE_FILES = (*WEB_FILES, "go", "py")
 BULLETS = ("●", "✕", "×")
 OUTCOMES = ("failed", "passed", "error", "errors")
+#: A log in which none of these words stands, in any case, has no findings: every format needs one.
+MARKS = "(?i)error|exception|warning|fail"
 MAX_FINDINGS = 8
 
 
@@ -85,7 +87,7 @@ def findings(logs: DataFrame, key: str, text: str, limit: int | None = MAX_FINDI
 
     What a format remembers from line to line is carried by windows over the lines of a log. Lines that no format
     could need are dropped before the windows. Null texts give nothing; a log of any length is one sort."""
-    lines = _places(log_lines(logs, key, text))
+    lines = _places(log_lines(logs.where(F.col(text).rlike(MARKS)), key, text))
     named = F.substring(_word(0), 1, F.length(_word(0)) - 1)
     node = F.split(_word(1), "::")
     failed = _word(0).isin("FAILED", "ERROR") & ~F.get(node, F.lit(0)).contains(":") & (_word(1) != "") & ((F.size("words") == 2) | (_word(2) == "-") & (F.size("words") > 3))

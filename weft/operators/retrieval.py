@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weft.operators.text import node_text, term_counts
+from weft.session import cut
 
 #: Folders that the postings are dealt out over by their term; a query reads those of its own terms.
 BUCKETS = 32
@@ -21,7 +22,7 @@ def refresh_index(nodes: DataFrame, folder: str, old: str | None = None) -> str:
     nodes that are gone are left behind. Document frequencies and lengths are counted anew from the postings. A refresh
     that fails leaves the old index as it is. Null ids are left out; of several rows of an id one is taken."""
     texts = nodes.where("id IS NOT NULL").select("id", node_text(nodes).alias("text")).groupBy("id").agg(F.max("text").alias("text"))
-    texts = texts.withColumn("version", F.xxhash64("text"))
+    texts = cut(texts.withColumn("version", F.xxhash64("text")))
     spark = nodes.sparkSession
     if old is None:
         fresh, kept = texts, None
@@ -30,7 +31,7 @@ def refresh_index(nodes: DataFrame, folder: str, old: str | None = None) -> str:
         fresh = texts.join(had, ["id", "version"], "left_anti")
         kept = spark.read.parquet(f"{old}/postings").select("id", "version", "token", "tf").join(texts.select("id", "version"), ["id", "version"], "left_semi")
     terms = term_counts(fresh, "id", "text").where("tf > 0").join(fresh.select("id", "version"), "id").select("id", "version", "token", "tf")
-    (terms if kept is None else kept.unionByName(terms)).withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("bucket").parquet(f"{folder}/postings")
+    (terms if kept is None else kept.unionByName(terms)).withColumn("bucket", _bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
     n = texts.agg(F.count("*").alias("n")).scalar()
     postings.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1).select("token", "df", "idf", _bucket()).write.parquet(f"{folder}/terms")
