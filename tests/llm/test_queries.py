@@ -36,6 +36,37 @@ def test_p3(spark):
     assert same <= {p for p, r in found.items() if r.copied}
 
 
+def test_p4(spark):
+    """Over all nodes: a score for each term of each node that has any, and the scores of p4_scores among them."""
+    from pyspark.sql import functions as F
+
+    rows = [tuple(r) for r in q.p4_terms(spark, DATA).collect()]
+    every, some = set(rows), {tuple(r) for r in q.p4_scores(spark, DATA).collect()}
+    assert len(rows) == len(every) and some < every and all(r[4] is not None for r in rows)
+    assert min(r[2] for r in rows) == min(r[3] for r in rows) == 1 and max(r[3] for r in rows) > 8
+    now = table(spark, DATA, "nodes").where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("updated_at", "name", "summary", "signature")).alias("r"))
+    named = {r.id for r in now.where("r.name RLIKE '[a-z]{3}'").collect()}
+    assert named and named <= {r[0] for r in rows}
+
+
+def test_p4_ties_and_one_term(spark, tmp_path):
+    """A null is an empty text where two rows of a node have one time; one term alone gives what SQL gives."""
+    from datetime import datetime as dt
+
+    schema, t = "id string, updated_at timestamp, name string, summary string, signature string", dt(2025, 1, 1)
+    cases = {
+        "ties": [("a", t, None, "xray xray", None), ("a", t, "", "alpha alpha", None), ("b", t, "xray alpha", "", "")],
+        "one": [("a", t, "alpha alpha", None, None), ("b", t, "alpha", "alpha" + " alpha" * 46, None)],
+        "none": [("a", t, None, "", "a 12")],
+    }
+    for case, data in cases.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{case}/nodes.parquet")
+        why, n = differs(spark, f"{tmp_path}/{case}", q.p4_terms, q.ORACLE["p4_terms"])
+        assert why is None and n == {"ties": 3, "one": 2, "none": 0}[case], (case, why)
+    for name in ("p4_found", "p4_scores"):
+        assert differs(spark, f"{tmp_path}/one", q.QUERIES[name], q.ORACLE[name]) == (None, 2)
+
+
 def test_p7(spark):
     """Over all sources: each id once, and each found as well by the plain readers of the core, which are made otherwise."""
     from weft.operators import extract

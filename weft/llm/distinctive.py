@@ -30,10 +30,11 @@ def log_odds(records: DataFrame, key: str, fields: list[str], prior: float = 100
     returned, before the join, so that frequent terms need not be scored where they are not wanted.
 
     Null and empty fields count as no text; a record without terms gives no rows; equal records score alike. A
-    collection of a single record has no rest, and its z-scores are near zero. Null keys are left out. Terms that
-    a third of the records hold are counted by partial aggregates; the join on the term has one row a term on one
-    side, so that adaptive execution may split the other. Texts are read once: the counts of terms by record go to the
-    shared folder. Extra columns are ignored."""
+    collection of a single record has no rest, and its z-scores are near zero; where one term is all there is, its
+    odds have no bound and z is NaN, as in SQL. Null keys are left out. Terms that a third of the records hold are
+    counted by partial aggregates; the join on the term has one row a term on one side, so that adaptive execution may
+    split the other. Texts are read once: the counts of terms by record go to the shared folder. Extra columns are
+    ignored."""
     text = F.concat_ws(" ", *fields)
     each = records.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), terms(text).alias("__terms")).where(F.size("__terms") > 0)
     tf = cut(each.select("__key", F.size("__terms").cast("bigint").alias("n_key"), F.explode("__terms").alias("term")).groupBy("__key", "n_key", "term").agg(F.count("*").alias("tf")))
@@ -45,4 +46,5 @@ def log_odds(records: DataFrame, key: str, fields: list[str], prior: float = 100
     rest, n_rest = F.col("cf") - y, F.col("n_all") - n
     delta = F.log((y + alpha) / (n + prior - y - alpha)) - F.log((rest + alpha) / (n_rest + prior - rest - alpha))
     z = delta / F.sqrt(1 / (y + alpha) + 1 / (rest + alpha))
-    return both.select(F.col("__key").alias(key), "term", "tf", "df", z.alias("z"))
+    only = F.col("cf") == F.col("n_all")
+    return both.select(F.col("__key").alias(key), "term", "tf", "df", F.when(only, F.lit(float("nan"))).otherwise(z).alias("z"))

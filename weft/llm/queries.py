@@ -54,6 +54,13 @@ def p4_scores(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("node_id"), "term", "tf", "df", F.round("z", 6).alias("z"))
 
 
+def p4_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The score of each term of the current row of every node, however rare or frequent it is."""
+    fields = ["name", "summary", "signature"]
+    nodes = distinctive.latest(table(spark, d, "nodes").fillna("", fields), "id", "updated_at", fields)
+    return distinctive.log_odds(nodes, "id", fields).select(F.col("id").alias("node_id"), "term", "tf", "df", F.round("z", 6).alias("z"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of nodes with a cosine of at least 0.9 of which one is among the five most similar of the other."""
     vectors = table(spark, d, "node_vectors").where("embedder = 'dense-64'")
@@ -126,7 +133,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FR
 SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b FROM best WHERE n <= 5 AND s >= 0.9
 """
 
-QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_against_graph": p2_against_graph, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_scores": p4_scores, "p4_terms": p4_terms, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_pieces": p10_pieces}
 
 ORACLE = {
     "p2_found": _P2_SQL + "SELECT path_a, path_b FROM pairs WHERE c * n >= 3 * na * nb",
@@ -137,6 +144,9 @@ FROM pairs LEFT JOIN conf ON source = path_a AND target = path_b LEFT JOIN churn
     "p4_found": _P4_SQL + "SELECT id AS node_id, term FROM tf JOIN df USING (term) WHERE tf >= 2 AND df BETWEEN 2 AND 8",
     "p4_scores": _P4_SQL + """, c AS (SELECT term, sum(tf)::DOUBLE AS cf FROM tf GROUP BY term), n AS (SELECT id, sum(tf)::DOUBLE AS n FROM tf GROUP BY id), a AS (SELECT sum(tf)::DOUBLE AS total FROM tf),
 v AS (SELECT id, term, tf, df, n, total, cf - tf AS rest, cf * 1000 / total AS alpha FROM tf JOIN df USING (term) JOIN c USING (term) JOIN n USING (id), a WHERE tf >= 2 AND df BETWEEN 2 AND 8)
+SELECT id AS node_id, term, tf, df, round((ln((tf + alpha) / (n + 1000 - tf - alpha)) - ln((rest + alpha) / (total - n + 1000 - rest - alpha))) / sqrt(1 / (tf + alpha) + 1 / (rest + alpha)), 6) AS z FROM v""",
+    "p4_terms": _P4_SQL + """, c AS (SELECT term, sum(tf)::DOUBLE AS cf FROM tf GROUP BY term), n AS (SELECT id, sum(tf)::DOUBLE AS n FROM tf GROUP BY id), a AS (SELECT sum(tf)::DOUBLE AS total FROM tf),
+v AS (SELECT id, term, tf, df, n, total, cf - tf AS rest, cf * 1000 / total AS alpha FROM tf JOIN df USING (term) JOIN c USING (term) JOIN n USING (id), a)
 SELECT id AS node_id, term, tf, df, round((ln((tf + alpha) / (n + 1000 - tf - alpha)) - ln((rest + alpha) / (total - n + 1000 - rest - alpha))) / sqrt(1 / (tf + alpha) + 1 / (rest + alpha)), 6) AS z FROM v""",
     "p6_found": _P6_SQL,
 }
