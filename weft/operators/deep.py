@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weft.operators.runtime import overlapping, within
+from weft.operators.substrings import count_containing, least_words
 from weft.operators.temporal import MAX_SYMBOLS
+from weft.session import cut
 
 # Lines of source that are read for a node without an end, and for one without a start.
 FRAGMENT, HEAD = 40, 60
@@ -47,12 +49,18 @@ def fragments(nodes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def alias_matches(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(entity, n): symbols and files whose name or path contains one of an entity's aliases."""
-    from weft.operators.domain import entity_models
-
-    hay = nodes.where("type IN ('symbol', 'file')").select("id", "type", F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("path", F.lit("")))).alias("name"), F.lit(None).cast("string").alias("path"))
-    hit = entity_models(aliases, hay, limit=2**31 - 1)
-    return hit.groupBy(F.regexp_replace("source", "^domain:", "").alias("entity")).agg(F.count_distinct("target").alias("n"))
+    """(entity, n): how many symbols and files have a name or path that contains one of an entity's aliases
+    (``aliases``: entity, aliases).
+
+    An alias that contains another one of its entity finds nothing more and is left out. Each set of aliases that is
+    left is counted once, for all entities that share it."""
+    alias = aliases.select("entity", F.explode(F.transform("aliases", F.lower)).alias("alias")).where("alias <> ''")
+    own = alias.groupBy("entity").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    own = cut(own.select("entity", least_words(F.col("aliases")).alias("aliases")))
+    text = F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("path", F.lit(""))))
+    hay = nodes.where("type IN ('symbol', 'file') AND id IS NOT NULL").groupBy("id").agg(F.collect_set(text).alias("texts"))
+    n = count_containing(hay, "texts", own.select("aliases").distinct(), "aliases")
+    return own.join(n, "aliases").select("entity", "n")
 
 
 def complete_order(ranked: DataFrame, given: DataFrame) -> DataFrame:
